@@ -20,8 +20,10 @@ COMMON_WORDS = (
     " el los las del y se una con por para su al lo como es de a"
 ).split()
 SYMBOLS = "#*$%&|<>"
-#: Character classes, as patterns over what is left of a text without blanks and a-z.
-CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "stop": "[.,;:!?'\"()-]+", "symbol": r"[#*$%&|<>_=+/\\@~^`{}\[\]]+", "letter": r"[\p{L}&&[^A-Za-z]]+"}
+#: What is taken out of a text before its other characters are counted.
+SMALL = r"[a-z\x20\x09-\x0D]+"
+#: Character classes, as patterns over what is left of a text without blanks and a-z; each takes from what those before it left.
+CLASSES = {"letter": r"[^\x00-\x7F]+", "stop": "[.,;:!?'\"()-]+", "upper": "[A-Z]+", "digit": "[0-9]+", "symbol": r"[#*$%&|<>_=+/\\@~^`{}\[\]]+"}
 
 
 def _count(column: Column, pattern: str) -> Column:
@@ -29,25 +31,28 @@ def _count(column: Column, pattern: str) -> Column:
 
 
 def with_histograms(docs: DataFrame, text_col: str) -> DataFrame:
-    """Add ``_words, _n_words, _rest, _word_chars, _chars`` (class counts) and ``_common`` (common-word counts)."""
+    """Add ``_words, _n_words, _rest, _word_chars, _chars`` (class counts), ``_present, _common`` (common-word counts)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("_trim", F.btrim(text, F.lit(BLANKS)))
-    found = found.withColumn("_words", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", BLANK, -1)))
-    found = found.withColumn("_solid", F.regexp_replace("_trim", BLANK, "")).withColumn("_rest", F.regexp_replace("_solid", "[a-z]+", ""))
-    found = found.withColumn("_n_words", F.size("_words").cast("long")).withColumn("_word_chars", F.length("_solid").cast("long"))
-    classes = [_count(F.col("_rest"), p) for p in CLASSES.values()]
-    counted = found.withColumn("_classes", F.array(*classes))
+    found = docs.withColumn("_split", F.split(text, BLANK, -1)).withColumn("_rest", F.regexp_replace(text, SMALL, ""))
+    # blanks at an end of the text leave an empty string at that end
+    lead, tail = (F.col("_split")[0] == "").cast("int"), (F.element_at("_split", -1) == "").cast("int")
+    found = found.withColumn("_words", F.slice("_split", lead + 1, F.greatest(F.size("_split") - lead - tail, F.lit(0))))
+    found = found.withColumn("_n_words", F.size("_words").cast("long"))
+    found = found.withColumn("_word_chars", F.length(F.concat_ws("", "_words")).cast("long"))
+    counted = found.withColumn("_left0", F.col("_rest"))
+    for k, pattern in enumerate(CLASSES.values()):
+        counted = counted.withColumn(f"_left{k + 1}", F.regexp_replace(f"_left{k}", pattern, ""))
+    left = [F.length(f"_left{k}") for k in range(len(CLASSES) + 1)]
     lower = F.col("_word_chars") - F.length("_rest")
-    known = F.aggregate("_classes", F.lit(0), lambda a, x: a + x)
-    counted = counted.withColumn("_chars", F.concat(F.array(lower.cast("int"), (F.length("_rest") - known).cast("int")), F.col("_classes")))
-    words = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    common = F.filter("_words", lambda w: F.lower(w).isin(*COMMON_WORDS))
-    counted = counted.withColumn("_hits", F.transform(common, lambda w: F.array_position(words, F.lower(w)).cast("int")))
+    counted = counted.withColumn("_chars", F.array(lower.cast("int"), left[-1], *[x - y for x, y in zip(left, left[1:], strict=False)]))
+    forms = sorted({x for w in COMMON_WORDS for x in (w, w.capitalize())})
+    counted = counted.withColumn("_hits", F.transform(F.filter("_words", lambda w: w.isin(*forms)), F.lower))
     # sparse: number 0 stands for all other words; a wide dense array would not be compiled
-    counted = counted.withColumn("_present", F.array_distinct("_hits"))
-    times = F.transform("_present", lambda k: F.size("_hits") - F.size(F.array_remove(F.col("_hits"), k)))
+    counted = counted.withColumn("_seen", F.array_distinct("_hits"))
+    times = F.transform("_seen", lambda w: F.size("_hits") - F.size(F.array_remove(F.col("_hits"), w)))
     other = F.col("_n_words").cast("int") - F.size("_hits")
-    return counted.withColumn("_common", F.concat(F.array(other), times)).withColumn("_present", F.concat(F.array(F.lit(0)), "_present"))
+    numbers = F.transform("_seen", lambda w: F.array_position(F.array(*[F.lit(x) for x in COMMON_WORDS]), w).cast("int"))
+    return counted.withColumn("_common", F.concat(F.array(other), times)).withColumn("_present", F.concat(F.array(F.lit(0)), numbers))
 
 
 def _shares(counts: Column) -> Column:
@@ -76,9 +81,9 @@ def js_distance_sparse(classes: Column, p: Column, q: Column) -> Column:
     return _root_sum(parts, F.aggregate(q, F.lit(0.0), lambda a, x: a + x) / 2)
 
 
-def language_references(docs: DataFrame, least_words: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def language_references(features: DataFrame, least_words: int) -> DataFrame:
     """``_lang, _ref_chars, _ref_common``: mean shares over a language's documents of ``least_words`` words; null is a language."""
-    found = with_histograms(docs.select(F.col(lang_col).alias("_lang"), F.col(text_col)), text_col).where(F.col("_n_words") >= least_words)
+    found = features.where(F.col("_n_words") >= least_words)
     shares = found.select("_lang", "_present", _shares(F.col("_chars")).alias("c"), _shares(F.col("_common")).alias("w"))
     n_w, n_c = len(COMMON_WORDS) + 1, len(CLASSES) + 2
     entries = F.concat(
@@ -104,7 +109,7 @@ def _repeated_words(docs: DataFrame) -> DataFrame:
     found = docs.withColumn("_windows", windows)
     repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
     found = found.withColumn("_sorted", F.when(
-        repeats, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     ))
     ordered = F.col("_sorted")
     twice = F.filter(ordered, lambda s, k: (s["h"] == F.get(ordered, k - 1)["h"]) | (s["h"] == F.get(ordered, k + 1)["h"]))
@@ -112,29 +117,47 @@ def _repeated_words(docs: DataFrame) -> DataFrame:
     return found.withColumn("_n_repeat", F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long"))
 
 
+def quality_features(docs: DataFrame, least_words: int, max_repeat_percent: int, text_col: str, keep: list[Column]) -> DataFrame:
+    """One pass over the texts: ``keep`` and the narrow columns that the verdict needs."""
+    found = _repeated_words(with_histograms(docs, text_col))
+    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    found = found.withColumn("_lines", lines)
+    found = found.withColumn("_n_dup_lines", F.coalesce(F.size("_lines") - F.size(F.array_distinct("_lines")), F.lit(0)).cast("long"))
+    found = found.withColumn("_n_symbols", _count(F.col("_rest"), f"[{SYMBOLS}]+").cast("long"))
+    base = (F.col("_n_words") < least_words) | (100 * F.col("_n_repeat") > max_repeat_percent * F.col("_n_words"))
+    own = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat", "_chars", "_present", "_common"]
+    return found.select(*keep, *own, base.alias("_base_failed"))
+
+
 def judge_quality(
     docs: DataFrame, max_char_distance: float = 0.35, max_word_distance: float = 0.75, guard_words: int = 100,
-    least_words: int = 50, max_repeat_percent: int = 50, text_col: str = "text", lang_col: str = "lang",
+    least_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang",
 ) -> DataFrame:
-    """``docs`` with ``_n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat, _char_distance, _word_distance, _base_failed, _kept``.
+    """Per document ``id, _text_hash, _lang, _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat, _char_distance,
+    _word_distance, _base_failed, _kept``.
 
     A null text has no words.  A document fails the base rules with fewer than ``least_words`` words or more
     than ``max_repeat_percent`` of its words in repeated windows.  Others are kept unless they have
     ``guard_words`` words and a distance above its limit.  Languages without reference judge by base rules alone.
     """
     work = Work(docs.sparkSession, "divergence")
-    references = checked_broadcast(work.save(language_references(docs, guard_words, text_col, lang_col), "references"))
-    found = _repeated_words(with_histograms(docs, text_col))
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    found = found.withColumn("_lines", lines)
-    found = found.withColumn("_n_dup_lines", F.coalesce(F.size("_lines") - F.size(F.array_distinct("_lines")), F.lit(0)).cast("long"))
-    found = found.withColumn("_n_symbols", _count(F.col("_rest"), f"[{SYMBOLS}]+").cast("long"))
-    base = (F.col("_n_words") < least_words) | (100 * F.col("_n_repeat") > max_repeat_percent * F.col("_n_words"))
-    found = found.withColumn("_base_failed", base)
-    judged = found.join(references, found[lang_col].eqNullSafe(references["_lang"]), "left")
+    keep = [F.col(id_col), F.xxhash64(text_col).alias("_text_hash"), F.col(lang_col).alias("_lang")]
+    found = work.save(quality_features(docs, least_words, max_repeat_percent, text_col, keep), "features")
+    references = work.save(language_references(found, guard_words), "references").withColumnRenamed("_lang", "_of")
+    judged = found.join(checked_broadcast(references), F.col("_lang").eqNullSafe(F.col("_of")), "left")
     long = F.col("_n_words") >= guard_words
     judged = judged.withColumn("_char_distance", F.when(long, js_distance(_shares(F.col("_chars")), F.col("_ref_chars"))))
     judged = judged.withColumn("_word_distance", F.when(long, js_distance_sparse(F.col("_present"), _shares(F.col("_common")), F.col("_ref_common"))))
     near = (F.coalesce("_char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("_word_distance", F.lit(0.0)) <= max_word_distance)
     own = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat", "_char_distance", "_word_distance", "_base_failed"]
-    return judged.select(*docs.columns, *own, (~F.col("_base_failed") & near).alias("_kept"))
+    return judged.select(id_col, "_text_hash", "_lang", *own, (~F.col("_base_failed") & near).alias("_kept"))
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that ``judge_quality`` rejects."""
+    judged = judge_quality(docs, id_col=id_col, text_col=text_col, **options)
+    bad = judged.where(~F.col("_kept")).select(F.col(id_col).alias("_bad_id"), F.col("_text_hash").alias("_bad_text")).distinct()
+    bad = Work(docs.sparkSession, "divergence").save(bad, "rejected")
+    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_text"))
+    return docs.join(checked_broadcast(bad), same, "left_anti")
