@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import circulant_minhash, divergence, line_runs, mixing, packing, token_counts, url_rules
+from quern.llm import circulant_minhash, divergence, hnsw, line_runs, mixing, packing, token_counts, url_rules
 
 #: The rules of the URL query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -39,6 +39,10 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant_minhash.near_duplicates(docs, size=3, percent=85)
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     return planned.select(
@@ -71,7 +75,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "op1_token_counts": op1_token_counts, "op2_packing": op2_packing, "op3_circulant_minhash": op3_circulant_minhash, "op5_mixing": op5_mixing,
+        "op1_token_counts": op1_token_counts, "op2_packing": op2_packing, "op3_circulant_minhash": op3_circulant_minhash, "op4_hnsw": op4_hnsw, "op5_mixing": op5_mixing,
         "op7_divergence": op7_divergence, "op9_url_rules": op9_url_rules, "op10_line_runs": op10_line_runs,
     }
 
