@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import circulant_minhash, divergence, hnsw, line_runs, mixing, packing, token_counts, url_rules
+from quern.llm import circulant_minhash, divergence, hnsw, interpolation, line_runs, mixing, packing, token_counts, url_rules
 
 #: The rules of the URL query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -51,6 +51,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return divergence.judge_quality(docs).select(
@@ -76,7 +80,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts, "op2_packing": op2_packing, "op3_circulant_minhash": op3_circulant_minhash, "op4_hnsw": op4_hnsw, "op5_mixing": op5_mixing,
-        "op7_divergence": op7_divergence, "op9_url_rules": op9_url_rules, "op10_line_runs": op10_line_runs,
+        "op6_interpolation": op6_interpolation, "op7_divergence": op7_divergence, "op9_url_rules": op9_url_rules, "op10_line_runs": op10_line_runs,
     }
 
 
