@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import circulant_minhash, divergence, hnsw, interpolation, line_runs, mixing, packing, token_counts, url_rules
+from quern.llm import circulant_minhash, divergence, hnsw, interpolation, line_runs, mixing, packing, suffix_dedup, token_counts, url_rules
 
 #: The rules of the URL query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -64,6 +64,13 @@ def op7_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return url_rules.judge_urls(pages, url_rules.rules_table(spark, URL_RULES))
@@ -80,7 +87,7 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts, "op2_packing": op2_packing, "op3_circulant_minhash": op3_circulant_minhash, "op4_hnsw": op4_hnsw, "op5_mixing": op5_mixing,
-        "op6_interpolation": op6_interpolation, "op7_divergence": op7_divergence, "op9_url_rules": op9_url_rules, "op10_line_runs": op10_line_runs,
+        "op6_interpolation": op6_interpolation, "op7_divergence": op7_divergence, "op8_suffix_dedup": op8_suffix_dedup, "op9_url_rules": op9_url_rules, "op10_line_runs": op10_line_runs,
     }
 
 
