@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Work, shuffle_partitions
+from quern.llm.common import Work, release_memory, shuffle_partitions
 
 #: Tokens of a block, about; a longer document is a block of its own.
 BLOCK_TOKENS = 1_500_000
@@ -179,6 +179,7 @@ def _sums(blocks: DataFrame, what: int, parts: int) -> DataFrame:
             if rows and rows[0][2] != row[2]:
                 yield from totals(rows)
                 rows = []
+                release_memory()
             rows.append(row)
         if rows:
             yield from totals(rows)
@@ -202,6 +203,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, list[np.nd
         if rows and rows[0][0] != row[0]:
             yield whole(rows)
             rows = []
+            release_memory()
         rows.append(row)
     if rows:
         yield whole(rows)

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Work, shuffle_partitions
+from quern.llm.common import Work, release_memory, shuffle_partitions
 
 ANCHOR = 20
 #: Bytes of text in a block (a longer document is a block of its own), and in one step within it.
-BLOCK_BYTES, STEP_BYTES = 8_000_000, 500_000
+BLOCK_BYTES, STEP_BYTES = 4_000_000, 120_000
 #: Anchors with more occurrences than this are split; a chunk of a collection has about so many strings.
 HOT, CHUNK = 20_000, 3_000
 _LAST = np.iinfo(np.int64).max
@@ -71,6 +71,7 @@ def _runs(rows: Iterator[tuple], key: int) -> Iterator[list[tuple]]:
         if run and run[0][key] != row[key]:
             yield run
             run = []
+            release_memory()
         run.append(row)
     if run:
         yield run
@@ -217,7 +218,7 @@ def _shared_anchors(blocks: DataFrame, size: int, parts: int) -> DataFrame:
     """Per block and part: 0, 1 or 2 for each distinct anchor, if one document, several, or very many have it."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for (row,) in _runs(_rows(batches), 0):
             _, _, docs, anchors = _Block(row).occurrences(size)
             order = np.argsort(anchors, kind="stable")
             anchors, docs = anchors[order], docs[order]
@@ -258,44 +259,48 @@ def column_wise(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray,
     m = len(strings)
     sizes = np.array([len(s) for s in strings])
     longest = int(sizes.max(initial=0))
-    text = np.zeros((m, longest + cap), np.int16)  # symbols from 1; 0 stands for the end
-    for f, s in enumerate(strings):
-        text[f, : len(s)] = np.frombuffer(s, np.uint8).astype(np.int16) + 1
-    flat, stride = text.ravel(), longest + cap
-    # one small number per symbol that occurs, so that a byte holds the transform
-    used = np.unique(flat)
+    stride = longest + cap
+    text = np.zeros((m, stride), np.int16)  # symbols from 1; 0 stands for the end
+    joined = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
+    text[np.repeat(np.arange(m), sizes), np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = joined
+    # one small number per symbol that occurs, in their order, so that a byte holds the transform
+    used = np.unique(text)
     small = np.zeros(258, np.uint8 if len(used) < 256 else np.uint16)
     small[used] = np.arange(len(used))
     code = small[text]
+    heads = np.lib.stride_tricks.sliding_window_view(code.ravel(), cap)  # the first symbols of any suffix
     bwt, who, prefix = np.zeros(m, code.dtype), np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-    begin = sizes.astype(np.int32)  # start of the suffix in each row
+    at_text = (np.arange(m) * stride + sizes).astype(np.int32 if m * stride < 2**31 else np.int64)  # start of the suffix in each row
     place = np.arange(m)
-    reach = np.arange(cap)
     for k in range(longest):
         active = np.flatnonzero(sizes > k)
         at = place[active]
         bwt[at] = code[active, sizes[active] - 1 - k]
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
         # rows without a symbol (whole strings) sort first; suffixes begin after the m empty ones
-        new = rank[at] - np.count_nonzero(bwt == 0) + m
+        new = rank[at].astype(np.int64) - np.count_nonzero(bwt == 0) + m
         n = len(bwt) + len(active)
         old = np.ones(n, bool)
         old[new] = False
+        old = np.flatnonzero(old)
         grown = []
-        for column, value in ((bwt, 0), (who, active), (begin, sizes[active] - 1 - k), (prefix, 0)):
+        for column, value in ((bwt, 0), (who, active), (at_text, active * stride + sizes[active] - 1 - k), (prefix, 0)):
             wider = np.empty(n, column.dtype)
             wider[old], wider[new] = column, value
             grown.append(wider)
-        bwt, who, begin, prefix = grown
+        bwt, who, at_text, prefix = grown
         place[active] = new
         # common prefixes change at the new rows and at the rows after them
-        touched = np.unique(np.concatenate((new, np.minimum(new + 1, n - 1))))
-        here, before = who[touched].astype(np.int64) * stride + begin[touched], who[touched - 1].astype(np.int64) * stride + begin[touched - 1]
-        same = (flat[here[:, None] + reach] == flat[before[:, None] + reach]) & (flat[here[:, None] + reach] > 0)
-        prefix[touched] = np.where(same.all(axis=1), cap, same.argmin(axis=1))
-    return who, begin, prefix
+        touched = np.zeros(n + 1, bool)
+        touched[new] = touched[new + 1] = True
+        touched = np.flatnonzero(touched[:n])
+        here, before = heads[at_text[touched]], heads[at_text[touched - 1]]
+        unlike = (here != before) | (here == 0)
+        first = unlike.argmax(axis=1)
+        prefix[touched] = np.where(unlike[np.arange(len(first)), first], first, cap)
+    return who, at_text - who * stride, prefix
 
 
 def _earliest_in(strings: list[bytes], firsts: list[int], size: int) -> list[np.ndarray]:
