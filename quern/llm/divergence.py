@@ -82,7 +82,8 @@ def js_distance_sparse(classes: Column, p: Column, q: Column) -> Column:
 
 
 def language_references(features: DataFrame, least_words: int) -> DataFrame:
-    """``_lang, _ref_chars, _ref_common``: mean shares over a language's documents of ``least_words`` words; null is a language."""
+    """``_lang, _ref_chars, _ref_common``: mean shares over a language's documents of ``least_words`` words; null is a
+    language.  ``_all_common`` is the mean over all documents."""
     found = features.where(F.col("_n_words") >= least_words)
     shares = found.select("_lang", "_present", _shares(F.col("_chars")).alias("c"), _shares(F.col("_common")).alias("w"))
     n_w, n_c = len(COMMON_WORDS) + 1, len(CLASSES) + 2
@@ -91,12 +92,17 @@ def language_references(features: DataFrame, least_words: int) -> DataFrame:
         F.transform("c", lambda x, i: F.struct((i + n_w).alias("k"), x.alias("x"))),
     )
     sums = shares.select("_lang", F.inline(entries)).groupBy("_lang", "k").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    # a language has at most n_w + n_c rows here
-    gathered = sums.groupBy("_lang").agg(
-        F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"), F.max(F.when(F.col("k") == 0, F.col("n"))).alias("docs")
-    )
     mean = lambda a, n: F.transform(F.sequence(F.lit(a), F.lit(a + n - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("docs"))
-    return gathered.select("_lang", mean(n_w, n_c).alias("_ref_chars"), mean(0, n_w).alias("_ref_common"))
+
+    def gathered(sums: DataFrame, *by: str) -> DataFrame:
+        """Dense arrays; a group has at most n_w + n_c rows."""
+        return sums.groupBy(*by).agg(
+            F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"), F.max(F.when(F.col("k") == 0, F.col("n"))).alias("docs")
+        )
+
+    own = gathered(sums, "_lang").select("_lang", mean(n_w, n_c).alias("_ref_chars"), mean(0, n_w).alias("_ref_common"))
+    whole = gathered(sums.groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))).select(mean(0, n_w).alias("_all_common"))
+    return own.crossJoin(F.broadcast(whole))  # one row
 
 
 def _repeated_words(docs: DataFrame) -> DataFrame:
@@ -130,28 +136,29 @@ def quality_features(docs: DataFrame, least_words: int, max_repeat_percent: int,
 
 
 def judge_quality(
-    docs: DataFrame, max_char_distance: float = 0.35, max_word_distance: float = 0.75, guard_words: int = 100,
-    least_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text",
-    lang_col: str = "lang",
+    docs: DataFrame, far_chars: float = 0.30, near_chars: float = 0.172, far_words: float = 0.28, guard_chars: int = 50, guard_words: int = 100,
+    least_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """Per document ``id, _text_hash, _lang, _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat, _char_distance,
     _word_distance, _base_failed, _kept``.
 
     A null text has no words.  A document fails the base rules with fewer than ``least_words`` words or more
-    than ``max_repeat_percent`` of its words in repeated windows.  Others are kept unless they have
-    ``guard_words`` words and a distance above its limit.  Languages without reference judge by base rules alone.
+    than ``max_repeat_percent`` of its words in repeated windows.  Of the others, one is rejected if its characters
+    are ``far_chars`` from its language's (and it has ``guard_chars`` words), or if they are ``near_chars`` from them
+    and its common words ``far_words`` from the language's and from those of all languages together, as text of
+    mixed languages is not (and it has ``guard_words`` words).  Without a reference the base rules judge alone.
     """
     work = Work(docs.sparkSession, "divergence")
     keep = [F.col(id_col), F.xxhash64(text_col).alias("_text_hash"), F.col(lang_col).alias("_lang")]
     found = work.save(quality_features(docs, least_words, max_repeat_percent, text_col, keep), "features")
     references = work.save(language_references(found, guard_words), "references").withColumnRenamed("_lang", "_of")
     judged = found.join(checked_broadcast(references), F.col("_lang").eqNullSafe(F.col("_of")), "left")
-    long = F.col("_n_words") >= guard_words
-    judged = judged.withColumn("_char_distance", F.when(long, js_distance(_shares(F.col("_chars")), F.col("_ref_chars"))))
-    judged = judged.withColumn("_word_distance", F.when(long, js_distance_sparse(F.col("_present"), _shares(F.col("_common")), F.col("_ref_common"))))
-    near = (F.coalesce("_char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("_word_distance", F.lit(0.0)) <= max_word_distance)
+    of_words = lambda ref: js_distance_sparse(F.col("_present"), _shares(F.col("_common")), F.col(ref))
+    judged = judged.withColumn("_char_distance", F.when(F.col("_n_words") >= guard_chars, js_distance(_shares(F.col("_chars")), F.col("_ref_chars"))))
+    judged = judged.withColumn("_word_distance", F.when(F.col("_n_words") >= guard_words, F.least(of_words("_ref_common"), of_words("_all_common"))))
+    far = (F.col("_char_distance") > far_chars) | ((F.col("_char_distance") > near_chars) & (F.col("_word_distance") > far_words))
     own = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat", "_char_distance", "_word_distance", "_base_failed"]
-    return judged.select(id_col, "_text_hash", "_lang", *own, (~F.col("_base_failed") & near).alias("_kept"))
+    return judged.select(id_col, "_text_hash", "_lang", *own, (~F.col("_base_failed") & ~F.coalesce(far, F.lit(False))).alias("_kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
