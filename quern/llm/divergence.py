@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANK, BLANKS, Work, checked_broadcast
+from quern.llm.common import BLANK, BLANKS, BROADCAST_ROWS, Work, checked_broadcast
 
 #: Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = (
@@ -150,6 +150,7 @@ def judge_quality(
     """
     work = Work(docs.sparkSession, "divergence")
     keep = [F.col(id_col), F.xxhash64(text_col).alias("_text_hash"), F.col(lang_col).alias("_lang")]
+    docs = docs.select(docs[id_col], docs[text_col], docs[lang_col])
     found = work.save(quality_features(docs, least_words, max_repeat_percent, text_col, keep), "features")
     references = work.save(language_references(found, guard_words), "references").withColumnRenamed("_lang", "_of")
     judged = found.join(checked_broadcast(references), F.col("_lang").eqNullSafe(F.col("_of")), "left")
@@ -166,5 +167,6 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     judged = judge_quality(docs, id_col=id_col, text_col=text_col, **options)
     bad = judged.where(~F.col("_kept")).select(F.col(id_col).alias("_bad_id"), F.col("_text_hash").alias("_bad_text")).distinct()
     bad = Work(docs.sparkSession, "divergence").save(bad, "rejected")
-    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[text_col]) == F.col("_bad_text"))
-    return docs.join(checked_broadcast(bad), same, "left_anti")
+    same = docs[id_col].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs[text_col]) == bad["_bad_text"])
+    rows = bad.count()
+    return docs.join(F.broadcast(bad) if rows <= BROADCAST_ROWS else bad, same, "left_anti")

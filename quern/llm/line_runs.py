@@ -89,24 +89,22 @@ def dedup_lines(
     their lines; rows that share an id are one document.  Extra columns pass through.
     """
     work = Work(docs.sparkSession, "lines")
+    given = docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text"))
     runs = LineRuns(work, fan_out=batches)
     for k in range(batches):
-        batch = docs.where(F.pmod(F.xxhash64(id_col), F.lit(batches)) == k)
-        runs.add(keyed_lines(batch, id_col, text_col, least_chars))
+        batch = given.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == k)
+        runs.add(keyed_lines(batch, "doc", "text", least_chars))
     shared = work.save(runs.merged().where(F.col("n_docs") >= least_docs).select(*KEY, "last_doc"), "shared")
-    lines = keyed_lines(docs, id_col, text_col, least_chars)
+    lines = keyed_lines(given, "doc", "text", least_chars)
     dropped = lines.join(checked_broadcast(shared), KEY).where("doc < last_doc")
-    dropped = dropped.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("_drop"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    joined = keyed.join(
-        dropped, (keyed[id_col] == dropped["doc"]) & (keyed["_text_hash"] == dropped["text_hash"]), "left"
+    dropped = dropped.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("drop"))
+    # the row travels as one column, so that its names clash with nothing
+    row = F.struct(*[docs[c] for c in docs.columns])
+    keyed = docs.select(docs[id_col].alias("doc"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"), row.alias("row"))
+    joined = keyed.join(dropped, ["doc", "text_hash"], "left").withColumn("lines", split_lines(F.col("text")))
+    kept = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+        F.array_join(F.filter("lines", lambda _, i: ~F.array_contains("drop", i)), "\n")
     )
-    cleaned = (
-        joined.withColumn("_lines", split_lines(F.col(text_col))).withColumn("_n_lines", F.size("_lines").cast("long"))
-        .withColumn("_n_dropped", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("long"))
-    )
-    kept = F.when(
-        F.col("_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))
-    ).otherwise(F.array_join(F.filter("_lines", lambda _, i: ~F.array_contains("_drop", i)), "\n"))
-    names = [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return cleaned.select(*names, "_n_lines", "_n_dropped")
+    n_dropped = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("drop"))
+    names = [kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return joined.select(*names, F.size("lines").cast("long").alias("_n_lines"), n_dropped.cast("long").alias("_n_dropped"))

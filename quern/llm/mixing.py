@@ -71,8 +71,9 @@ def plan_mix(
     return joined.withColumn("_copies", copies(rate, F.col(id_col), seed)).drop("_source")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as planned, with the columns of ``docs``."""
-    planned = plan_mix(docs, **options)
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as planned, with the columns of ``docs``, whatever their names."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    planned = plan_mix(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), docs[text_col].alias("text"), row), **options)
     again = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_again")
-    return planned.where("_copies > 0").select(*docs.columns, again).drop("_again")
+    return planned.where("_copies > 0").select("_row", again).select("_row.*")

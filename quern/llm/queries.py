@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import circulant_minhash, divergence, hnsw, interpolation, line_runs, mixing, packing, suffix_dedup, token_counts, url_rules
+from quern.llm import circulant_minhash, divergence, hnsw, interpolation, line_runs, mixing, oracles, packing, suffix_dedup, token_counts, url_rules
 
 #: The rules of the URL query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -92,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

@@ -111,8 +111,8 @@ def url(text, rules):
     path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
     host, best = lower(host), None
     for verdict, rule in rules:
-        r_host, _, r_path = rule.partition("/")
-        if (host == r_host or host.endswith("." + r_host)) and path.startswith("/" + r_path):
+        r_host, slash, r_path = rule.partition("/")
+        if (host == r_host or host.endswith("." + r_host)) and path.startswith(slash + r_path):
             best = max(best or (0,), (len(rule), verdict == "block", rule, verdict))
     return (host, path, best[2], best[3]) if best else (host, path, None, None)
 
