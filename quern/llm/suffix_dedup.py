@@ -34,6 +34,8 @@ ANCHOR = 20
 BLOCK_BYTES, STEP_BYTES = 4_000_000, 120_000
 #: Anchors with more occurrences than this are split; a chunk of a collection has about so many strings.
 HOT, CHUNK = 20_000, 3_000
+#: Hash ranges per shuffle partition.
+RANGES = 6
 _LAST = np.iinfo(np.int64).max
 
 ROW = T.StructType([
@@ -247,7 +249,7 @@ def _shared_anchors(blocks: DataFrame, size: int, parts: int) -> DataFrame:
                 cut += n
 
     sent = blocks.mapInArrow(send, ROW)
-    return sent.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(judge, ROW)
+    return sent.repartition(max(1, parts // RANGES), "part").sortWithinPartitions("part", "block").mapInArrow(judge, ROW)
 
 
 def column_wise(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -377,7 +379,7 @@ def _earliest(met: DataFrame, size: int, parts: int) -> DataFrame:
                 yield _batch([(r[0], EARLIEST, r[2], _zip(np.concatenate([found[x] for x in mine]).astype("<i8").tobytes()), None, None, None)])
 
     sent = met.mapInArrow(send, ROW)
-    return sent.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(compare, ROW)
+    return sent.repartition(max(1, parts // RANGES), "part").sortWithinPartitions("part", "block").mapInArrow(compare, ROW)
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,9 +392,10 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     if size < ANCHOR + 1 or size > 255:
         raise ValueError(f"size must be from {ANCHOR + 1} to 255: {size}")
     work = Work(docs.sparkSession, "suffixes")
-    parts = max(1, shuffle_partitions(docs))
+    tasks = max(1, shuffle_partitions(docs))
+    parts = RANGES * tasks  # several small ranges to a task: even loads, and only one range in memory
     blocks = work.save(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col))), "blocks", "uncompressed")
-    meet = lambda *tables: _union(blocks, *tables).repartition(parts, "block").sortWithinPartitions("block", "what", "part")
+    meet = lambda *tables: _union(blocks, *tables).repartition(tasks, "block").sortWithinPartitions("block", "what", "part")
     flags = work.save(_shared_anchors(blocks, size, parts), "flags")
     earliest = work.save(_earliest(meet(flags), size, parts), "earliest")
     schema = T.StructType([
