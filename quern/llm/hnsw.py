@@ -253,7 +253,7 @@ def near_vectors(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = dealt.select("*", every("chunks").alias("c")).select(task("own", "c").alias("task"), F.lit(0).alias("role"), *rows)
     asked = dealt.select("*", every("shards").alias("s")).select(task("s", "chunk").alias("task"), F.lit(1).alias("role"), *rows)
-    both = index.unionByName(asked).repartition(shuffle_partitions(vectors), "task").sortWithinPartitions("task", "role", "node")
+    both = index.unionByName(asked).repartition(4 * shuffle_partitions(vectors), "task").sortWithinPartitions("task", "role", "node")
     found = work.save(both.mapInArrow(_answers(least, beam, audits, target), "node long, links long, u long, v long"), "found")
     links = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("u is not null").select("u", "v"), work)
