@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import drift, findings, metrics, modelling, profile, recipe, runs, splits
+from quern.operators import artifacts, drift, findings, metrics, modelling, profile, recipe, runs, splits
 from quern.operators.explain import EXPLANATIONS
 from quern.sources import io
 
@@ -44,14 +44,15 @@ def inspect(spark, a) -> int:
     df = load(spark, a)
     if a.target and a.target not in df.columns:
         raise io.InputError(f"no column {a.target}")
-    found = rows_of(findings.detect_findings(df, a.target))
-    kinds = rows_of(profile.column_kinds(df))
+    done = artifacts.profile_table(df, a.target, {"path": a.data})
+    found = done.findings
+    kinds = [{"column": c.name, "kind": c.kind, "count": c.count, "missing": c.missing, "unique": c.unique} for c in done.columns]
     if a.json:
         with open(a.json, "w") as f:
-            json.dump({"schema_version": "1.0", "columns": kinds, "findings": found}, f, default=str)
+            f.write(done.to_json())
     if a.html:
         with open(a.html, "w") as f:
-            f.write(runs.render(found, ["severity", "kind", "columns", "metric"], "html"))
+            f.write(runs.render(found, ["severity", "kind", "columns", "summary"], "html"))
     if not a.quiet:
         show(kinds)
         show(found)

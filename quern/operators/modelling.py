@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import metrics, profile, recipe, significance, splits
+from quern.operators.neighbours import NearestNeighbours
 
 LEAST_ROWS_PER_FOLD = 5
 
@@ -72,6 +73,7 @@ for _e in (
     ModelEntry("hist-gbm", BOTH, _pick(lambda n: mc.GBTClassifier(maxIter=40, seed=0), lambda n: mr.GBTRegressor(maxIter=40, seed=0)), summary="gradient-boosted trees"),
     ModelEntry("svm", ("classification",), lambda task, n: mc.LinearSVC(maxIter=100), True, "linear support vectors"),
     ModelEntry("naive-bayes", ("classification",), lambda task, n: mc.NaiveBayes(modelType="gaussian"), summary="Gaussian naive Bayes"),
+    ModelEntry("knn", BOTH, _pick(lambda n: NearestNeighbours(k=5, classify=True), lambda n: NearestNeighbours(k=5, classify=False)), True, "five nearest neighbours of a bounded sample"),
     ModelEntry("fm", BOTH, _pick(lambda n: mc.FMClassifier(seed=0), lambda n: mr.FMRegressor(seed=0)), True, "factorisation machine"),
     ModelEntry("mlp", ("classification",), lambda task, n: mc.MultilayerPerceptronClassifier(maxIter=100, seed=0), True, "two-layer perceptron"),
     *(ModelEntry(n, BOTH, _missing(p), summary="optional", needs=p) for n, p in (("xgb", "xgboost"), ("lgbm", "synapseml"), ("catboost", "catboost-spark"), ("torch-mlp", "torch"))),
