@@ -183,7 +183,8 @@ class _Block:
         counts = np.diff(np.append(begins, len(anchor)))
         keep = good[begins]
         begins, counts = begins[keep], counts[keep]
-        return begins + low, counts, doc[begins], h[anchor[begins]]
+        # least hashes crowd near 0; spread once more, they fill the ranges evenly
+        return begins + low, counts, doc[begins], _spread(h[anchor[begins]])
 
     def fragments(self, size: int, flags: np.ndarray):
         """Strings to compare, sorted by key and content, with the smallest id; and what they were cut from.
