@@ -313,7 +313,10 @@ def over_all_rows(df, order, reach, value, name, buckets=32):
     """A window over the whole table without one task: buckets by quantiles of the first order column, each
     with the last ``reach`` rows before it."""
     kind = df.select(order[0].alias("b")).dtypes[0][1]
-    by = (order[0].cast("timestamp") if kind in ("timestamp_ntz", "date") else order[0]).cast("double")
+    if kind == "string":  # the first six bytes as a number keep the order
+        by = F.conv(F.rpad(F.hex(F.substring(F.encode(order[0], "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    else:
+        by = (order[0].cast("timestamp") if kind in ("timestamp_ntz", "date") else order[0]).cast("double")
     cuts = df.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 1000)).first()[0] if buckets > 1 else None
     cuts = sorted(set(cuts or []))
     code = F.lit(0)
