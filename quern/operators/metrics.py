@@ -10,7 +10,7 @@ from quern.operators import profile as P
 
 #: Limits of slices, calibration, bootstrap and error patterns.
 SLICE_COLUMNS, SLICE_VALUES, SLICE_ROWS, CALIBRATION_BINS = 6, 10, 20, 10
-RESAMPLES, BOOTSTRAP_ROWS, BOOTSTRAP_LEAST = 1000, 25_000, 20
+RESAMPLES, BOOTSTRAP_LEAST = 1000, 20
 
 
 def detect_task(df: DataFrame, target: str) -> str:
@@ -233,20 +233,17 @@ def balanced_accuracy_of(cells: list[tuple]) -> float:
 def bootstrap_rows(df: DataFrame, metric: dict[str, Column], key: list[str], resamples: int = 200, seed: int = 0) -> DataFrame:
     """``metric, ci_low, ci_high`` of means: Poisson weights of a hash of key and replicate stand for drawing rows.
 
-    All replicates and metrics share one pass; a row is expanded to its replicates only within its task.
+    Every row enters every replicate, whatever the table's size.  All replicates and metrics share one pass; a row is
+    expanded to its replicates only within its task.
     """
-    n = df.count()
-    rows = df if n <= BOOTSTRAP_ROWS else df.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) < 1e6 * BOOTSTRAP_ROWS / n)
     u = (F.pmod(F.xxhash64(F.lit(seed), "rep", *key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     cdf, term, weight = 0.0, float(np.exp(-1.0)), F.lit(0)
     for k in range(8):
         cdf += term
         weight = weight + (u > F.lit(cdf)).cast("int")
         term /= k + 1
-    cells = rows.select(*key, *[c.cast("double").alias(f"m_{m}") for m, c in metric.items()], F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep")).withColumn("w", weight)
+    cells = df.select(*key, *[c.cast("double").alias(f"m_{m}") for m, c in metric.items()], F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep")).withColumn("w", weight)
     reps = cells.groupBy("rep").agg(*[F.try_divide(F.sum(F.col("w") * F.col(f"m_{m}")), F.sum(F.when(F.col(f"m_{m}").isNotNull(), F.col("w")))).alias(m) for m in metric])
-    shrink = min(1.0, (min(n, BOOTSTRAP_ROWS) / n) ** 0.5) if n else 1.0
-    parts = [F.struct(F.lit(m).alias("metric"), F.percentile(F.col(m), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")) for m in metric]
+    parts = [F.struct(F.lit(m).alias("metric"), F.percentile(F.col(m), F.array(F.lit(0.025), F.lit(0.975))).alias("q")) for m in metric]
     out = reps.agg(F.array(*parts).alias("x")).select(F.inline("x"))
-    mid = F.col("q")[1]
-    return out.select("metric", (mid + (F.col("q")[0] - mid) * shrink).alias("ci_low"), (mid + (F.col("q")[2] - mid) * shrink).alias("ci_high"))
+    return out.select("metric", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))

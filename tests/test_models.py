@@ -84,6 +84,20 @@ def test_bootstrap_brackets_the_estimate(spark):
     assert r["ci_low"] < 2.998 < r["ci_high"] and r["ci_high"] - r["ci_low"] < 0.4
 
 
+def test_bootstrap_of_a_large_table_uses_all_rows(spark):
+    # one row in 40,000 holds nearly all of the sum: its Poisson weight must show in the replicates
+    df = spark.range(40_000).select("id", F.when(F.col("id") % 8000 == 0, 8000.0).otherwise(0.0).alias("x"))
+    values = df.select("x").toPandas()["x"]
+    r = metrics.bootstrap_rows(df, {"m": F.col("x")}, ["id"], 200).first()
+    width, exact = r["ci_high"] - r["ci_low"], 2 * 1.96 * values.std() / len(values) ** 0.5
+    assert r["ci_low"] < values.mean() < r["ci_high"] and 0.7 * exact < width < 1.4 * exact
+    # centred on the whole table's estimate at this and other seeds, as an interval of a fixed subset is not
+    wave = spark.range(60_000).select("id", ((F.col("id") * 7919) % 60_000).cast("double").alias("x"))
+    for seed in range(8):
+        low, high = metrics.bootstrap_rows(wave, {"m": F.col("x")}, ["id"], 100, seed).select("ci_low", "ci_high").first()
+        assert abs((low + high) / 2 - 29_999.5) < 0.25 * (high - low)
+
+
 def test_auc_of_ties(spark):
     df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "y int, s double")
     r = metrics.score_metrics(df, F.col("y"), F.col("s")).first()
