@@ -2,15 +2,18 @@
 
 Malkov and Yashunin (TPAMI 2020).  Vectors of a label are dealt into shards of bounded size; every vector of
 the label queries every shard.  Queries are dealt into chunks, so a task holds one shard's graph and streams
-one chunk through it.  In each task a hash-chosen sample of the queries is also answered by brute force, and
-the search beam is doubled until the graph finds what brute force found.  Links are confirmed in double
-precision on whole vectors, counted where they are found, and joined into components; pairs are not emitted.
+one chunk through it.  In each task a hash-chosen sample of the whole chunk is also answered by brute force, drawn
+until enough queries with links are seen, and the search beam is doubled until nearly all of these queries find all
+their links.  Where too few have links, or no narrow beam will do, the task scans its shard instead.  Links are
+confirmed in double precision on whole vectors, counted where they are found, and joined into components; pairs are
+not emitted.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import Work, checked_broadcast, shuffle_partitions
 from quern.llm.components import components
 
+#: Queries of a scan's block; sampled queries for each one of the audit at most.
+SCANNED, DRAWS = 256, 16
+
 
 class Graph:
     """A small-world graph over unit vectors; levels come from a hash of the number, so builds repeat."""
@@ -131,19 +137,38 @@ class Graph:
         return np.concatenate(parts)
 
 
-def audited_beam(graph: Graph, queries: np.ndarray, least: float, beam: int, target: float) -> int:
-    """The narrowest doubled beam whose recall on ``queries`` reaches ``target`` against brute force."""
-    truth = (queries @ graph.x.T >= least).sum(axis=1)
-    while beam < len(graph.x):
-        found = sum(len(graph.within(q, least, beam)) for q, t in zip(queries, truth, strict=True) if t)
-        if found >= target * truth.sum():
+def scan(x: np.ndarray, queries: np.ndarray, least: float, own: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Per query all rows of ``x`` with similarity of at least ``least``, but not row ``own`` (-1: none is its own)."""
+    for a in range(0, len(queries), SCANNED):
+        near = queries[a : a + SCANNED] @ x.T >= least
+        if own is not None:
+            mine = np.flatnonzero(own[a : a + SCANNED] >= 0)
+            near[mine, own[a : a + SCANNED][mine]] = False
+        yield from (np.flatnonzero(r) for r in near)
+
+
+def audited_beam(
+    graph: Graph, queries: np.ndarray, least: float, beam: int, target: float, own: np.ndarray | None = None, enough: int = 1
+) -> int:
+    """The narrowest doubled beam by which ``target`` of the queries that have links find all of them.
+
+    The share is held over all queries and over those with a like number of links (of one power of two), so that large
+    groups do not pass for small ones; a query's match with itself is no link.  With fewer than ``enough`` queries that
+    have links, or beyond an eighth of the graph, where a scan costs less, it is the whole graph.
+    """
+    own = np.full(len(queries), -1) if own is None else own
+    asked = [(q, o, len(t)) for q, o, t in zip(queries, own.tolist(), scan(graph.x, queries, least, own), strict=True) if len(t)]
+    kinds = np.array([t.bit_length() for _, _, t in asked])
+    while len(asked) >= enough and 8 * beam <= len(graph.x):
+        whole = np.array([(graph.within(q, least, beam) != o).sum() == t for q, o, t in asked])
+        if all(whole[of].mean() >= target for of in [kinds > 0, *(kinds == k for k in set(kinds.tolist()))] if of.any()):
             return beam
         beam *= 2
-    return beam
+    return len(graph.x)
 
 
 def _answers(least: float, beam: int, audits: int, target: float):
-    """mapInArrow function over rows sorted by task, index rows (role 0) before queries (role 1)."""
+    """mapInArrow function over rows sorted by task, index rows (role 0) before queries (role 1), each in hash order."""
 
     def answer(tasks: Iterator[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
         for index, queries in tasks:
@@ -151,7 +176,7 @@ def _answers(least: float, beam: int, audits: int, target: float):
             times = np.array([r[1] for r in index])
             x = np.array([r[2] for r in index], np.float64)
             x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            graph, width = Graph(x), None
+            number = {k: i for i, k in enumerate(ids.tolist())}
             at = list(range(len(ids)))
 
             def find(k, at=at):
@@ -160,16 +185,26 @@ def _answers(least: float, beam: int, audits: int, target: float):
                     k = at[k]
                 return k
 
-            for batch in queries:
-                q_ids = np.array([r[0] for r in batch])
+            def vectors(batch, number=number):
+                q_ids = [r[0] for r in batch]
                 q = np.array([r[2] for r in batch], np.float64)
-                q /= np.sqrt((q * q).sum(axis=1))[:, None]
-                if width is None:
-                    sample = np.argsort((q_ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))[:audits]
-                    width = audited_beam(graph, q[sample], least, beam, target)
+                return q_ids, q / np.sqrt((q * q).sum(axis=1))[:, None], np.array([number.get(k, -1) for k in q_ids])
+
+            # queries come in hash order, so the first ones are a sample of the whole chunk
+            batches, held, linked, drawn = map(vectors, queries), [], [], 0
+            while len(linked) < audits and drawn < DRAWS * audits and (batch := next(batches, None)) is not None:
+                held.append(batch)
+                drawn += len(batch[0])
+                linked += [(v, o) for v, o, t in zip(*batch[1:], scan(x, *batch[1:2], least, batch[2]), strict=True) if len(t)]
+            linked, graph, width = linked[:audits], None, len(x)
+            if len(linked) >= audits // 4:
+                graph = Graph(x)
+                width = audited_beam(graph, np.array([v for v, _ in linked]), least, beam, target, np.array([o for _, o in linked]))
+
+            for q_ids, q, own in chain(held, batches):
                 nodes, counts, u, v = [], [], [], []
-                for one, vector in zip(q_ids.tolist(), q, strict=True):
-                    found = graph.within(vector, least, width)
+                answers = scan(x, q, least, own) if width >= len(x) else (graph.within(vector, least, width) for vector in q)
+                for one, found in zip(q_ids, answers, strict=True):
                     found = found[ids[found] != one]
                     if len(found):
                         nodes.append(one)
@@ -253,7 +288,7 @@ def near_vectors(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = dealt.select("*", every("chunks").alias("c")).select(task("own", "c").alias("task"), F.lit(0).alias("role"), *rows)
     asked = dealt.select("*", every("shards").alias("s")).select(task("s", "chunk").alias("task"), F.lit(1).alias("role"), *rows)
-    both = index.unionByName(asked).repartition(4 * shuffle_partitions(vectors), "task").sortWithinPartitions("task", "role", "node")
+    both = index.unionByName(asked).repartition(4 * shuffle_partitions(vectors), "task").sortWithinPartitions("task", "role", F.xxhash64(F.lit(11), F.col("node")), "node")
     found = work.save(both.mapInArrow(_answers(least, beam, audits, target), "node long, links long, u long, v long"), "found")
     links = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("u is not null").select("u", "v"), work)

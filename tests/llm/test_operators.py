@@ -211,6 +211,22 @@ def test_graph_recall():
     assert found >= 0.98 * truth
 
 
+def test_audit_is_not_passed_by_a_large_group_or_by_nothing():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(1200, 48))
+    x[::3] = r.normal(size=48) + r.normal(size=(400, 48)) * 0.12  # one large group
+    x[1::6] = x[2::6] + r.normal(size=(200, 48)) * 0.15  # pairs
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g, own = hnsw.Graph(x, 9, 32), np.arange(1200)
+    width = hnsw.audited_beam(g, x[:400], 0.93, 4, 0.995, own[:400])
+    truth = list(hnsw.scan(x, x, 0.93, own))
+    few = [i for i in range(1200) if 0 < len(truth[i]) < 5]
+    assert len(few) == 400 and sum(len(g.within(x[i], 0.93, width)) - 1 == len(truth[i]) for i in few) >= 0.99 * len(few)
+    # with no link to find, or none but a query's own match, no beam has passed
+    alone = np.flatnonzero([not len(t) for t in truth])
+    assert hnsw.audited_beam(g, x[alone[:50]], 0.93, 4, 0.995, alone[:50]) == 1200 == hnsw.audited_beam(g, -x[:50], 0.93, 4, 0.995)
+
+
 # 5
 
 
