@@ -2,7 +2,8 @@
 
 Each document gets a histogram of character classes and one of common words.  The reference of a language is
 the mean of its documents' shares; a document whose Jensen-Shannon distance to its language's reference is
-large is not text of that language's kind.  Short documents are not judged by histogram.
+large is not text of that language's kind.  How large is read from the spread of like documents, as the noise of
+a histogram shrinks with a text's length.  Documents under ``guard_chars`` words are not judged by histogram.
 """
 
 from __future__ import annotations
@@ -105,6 +106,17 @@ def language_references(features: DataFrame, least_words: int) -> DataFrame:
     return own.crossJoin(F.broadcast(whole))  # one row
 
 
+def word_spreads(judged: DataFrame, least_docs: int) -> DataFrame:
+    """``_of, _octave, _middle, _spread`` of the scaled word distance, per language and length (doublings of words).
+
+    The distance of a sample of n words shrinks with the root of n, so it is scaled by that.  The spread is that of the
+    lower half, which junk does not widen; a length with under ``least_docs`` documents has none.
+    """
+    found = judged.where(F.col("_scaled").isNotNull() & ~F.col("_base_failed")).groupBy(F.col("_lang").alias("_of"), F.col("_octave"))
+    spreads = found.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_scaled", F.array(F.lit(0.25), F.lit(0.5)), F.lit(10_000)).alias("q"))
+    return spreads.where(F.col("n") >= least_docs).select("_of", F.col("_octave").alias("_length"), F.col("q")[1].alias("_middle"), ((F.col("q")[1] - F.col("q")[0]) / 0.6745).alias("_spread"))
+
+
 def _repeated_words(docs: DataFrame) -> DataFrame:
     """Add ``_n_repeat``: words in windows of three words that the text holds twice or more."""
     words = F.col("_words")
@@ -137,7 +149,7 @@ def quality_features(docs: DataFrame, least_words: int, max_repeat_percent: int,
 
 def judge_quality(
     docs: DataFrame, far_chars: float = 0.30, near_chars: float = 0.172, far_words: float = 0.28, guard_chars: int = 50, guard_words: int = 100,
-    least_words: int = 50, max_repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    least_words: int = 50, max_repeat_percent: int = 50, spreads: float = 4.0, spread_docs: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """Per document ``id, _text_hash, _lang, _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat, _char_distance,
     _word_distance, _base_failed, _kept``.
@@ -146,7 +158,10 @@ def judge_quality(
     than ``max_repeat_percent`` of its words in repeated windows.  Of the others, one is rejected if its characters
     are ``far_chars`` from its language's (and it has ``guard_chars`` words), or if they are ``near_chars`` from them
     and its common words ``far_words`` from the language's and from those of all languages together, as text of
-    mixed languages is not (and it has ``guard_words`` words).  Without a reference the base rules judge alone.
+    mixed languages is not (and it has ``guard_words`` words).  Whatever its characters, it is rejected if its common
+    words are ``far_words`` away and over ``spreads`` spreads beyond the median of its language's documents of like
+    length (from ``guard_chars`` words, where ``spread_docs`` such documents are).  Without a reference the base rules
+    judge alone.
     """
     work = Work(docs.sparkSession, "divergence")
     keep = [F.col(id_col), F.xxhash64(text_col).alias("_text_hash"), F.col(lang_col).alias("_lang")]
@@ -156,10 +171,17 @@ def judge_quality(
     judged = found.join(checked_broadcast(references), F.col("_lang").eqNullSafe(F.col("_of")), "left")
     of_words = lambda ref: js_distance_sparse(F.col("_present"), _shares(F.col("_common")), F.col(ref))
     judged = judged.withColumn("_char_distance", F.when(F.col("_n_words") >= guard_chars, js_distance(_shares(F.col("_chars")), F.col("_ref_chars"))))
-    judged = judged.withColumn("_word_distance", F.when(F.col("_n_words") >= guard_words, F.least(of_words("_ref_common"), of_words("_all_common"))))
-    far = (F.col("_char_distance") > far_chars) | ((F.col("_char_distance") > near_chars) & (F.col("_word_distance") > far_words))
+    judged = judged.withColumn("_word_distance", F.when(F.col("_n_words") >= guard_chars, F.least(of_words("_ref_common"), of_words("_all_common"))))
+    judged = judged.withColumn("_scaled", F.col("_word_distance") * F.sqrt("_n_words")).withColumn("_octave", F.floor(F.log2(F.col("_n_words") / guard_chars)))
     own = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat", "_char_distance", "_word_distance", "_base_failed"]
-    return judged.select(id_col, "_text_hash", "_lang", *own, (~F.col("_base_failed") & ~F.coalesce(far, F.lit(False))).alias("_kept"))
+    judged = work.save(judged.select(id_col, "_text_hash", "_lang", *own, "_scaled", "_octave"), "distances")
+    like = work.save(word_spreads(judged, spread_docs), "spreads")
+    judged = judged.join(checked_broadcast(like), F.col("_lang").eqNullSafe(F.col("_of")) & (F.col("_octave") == F.col("_length")), "left")
+    far_of_words = F.col("_word_distance") > far_words
+    beyond = far_of_words & (F.col("_scaled") > F.col("_middle") + spreads * F.col("_spread"))
+    mixed = (F.col("_n_words") >= guard_words) & (F.col("_char_distance") > near_chars) & far_of_words
+    far = F.coalesce(F.col("_char_distance") > far_chars, F.lit(False)) | F.coalesce(mixed, F.lit(False)) | F.coalesce(beyond, F.lit(False))
+    return judged.select(id_col, "_text_hash", "_lang", *own, (~F.col("_base_failed") & ~far).alias("_kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

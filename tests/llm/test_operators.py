@@ -331,6 +331,16 @@ def test_junk_is_told_from_prose(spark):
     assert all(r["_kept"] == (i < 100) for i, r in got.items())
 
 
+def test_junk_in_ordinary_letters_is_told_by_its_words(spark):
+    r = random.Random(6)
+    common, rare = ["the", "of", "and", "to"], ["house", "river", "stone", "garden", "winter", "letters"]
+    prose = lambda n: " ".join(r.choice(common if r.random() < 0.5 else rare) for _ in range(n))
+    junk = lambda n: " ".join(r.choice(rare) for _ in range(n))
+    rows = [(i, prose(60 if i % 2 else 150), "en") for i in range(200)] + [(1000 + i, junk(60 if i % 2 else 150), "en") for i in range(6)]
+    got = by_id(divergence.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_repeat_percent=100))
+    assert all(r["_char_distance"] < 0.172 for r in got.values()) and all(r["_kept"] == (i < 1000) for i, r in got.items())
+
+
 def test_js_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.1, 0.4, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
