@@ -235,6 +235,8 @@ def fit_target_encode(df, p):
     codes = None
     if kind in ("string", "boolean"):
         values = [r[0] for r in df.where(F.col(rename_free(df, target)).isNotNull()).select(F.col(rename_free(df, target)).cast("string")).distinct().orderBy(1).limit(1001).collect()]
+        if len(values) > 1000:
+            raise ValueError(f"target-encode: {target} has more than 1000 classes")
         codes = {v: i for i, v in enumerate(values)}
     y = numeric_target(df, target, codes)
     prior = df.agg(F.avg(y)).first()[0]

@@ -123,3 +123,12 @@ def test_reading_and_writing(spark, tmp_path):
     one, two = (io.read_table(spark, f"{tmp_path}/o.parquet", 100, 5).frame.orderBy("id").collect() for _ in range(2))
     assert one == two and 50 < len(one) < 170
     assert io.hash_file(str(tmp_path / "a.csv")) == io.hash_file(str(tmp_path / "a.csv"))
+
+
+def test_target_encode_of_too_many_classes_raises(spark):
+    from quern.operators import recipe_ops
+
+    df = spark.range(1001).selectExpr("id", "cast(id % 3 as string) AS g", "concat('c', id) AS y")
+    with pytest.raises(ValueError, match="more than 1000 classes"):
+        recipe_ops.target_encode_oof(df, {"target": "y", "columns": ["g"], "key": ["id"]})
+    assert len(recipe_ops.fit_target_encode(df.where("id < 1000"), {"target": "y", "columns": ["g"]})["codes"]) == 1000
