@@ -2,8 +2,8 @@
 
 A run is a table of line keys (128-bit hashes), sorted, each with the number of documents that hold it and
 the largest of their ids.  Every batch of documents adds one run; when a level has ``fan_out`` runs they are
-merged into one run of the next level, so a key is rewritten a logarithmic number of times.  A batch is
-cleaned by merge-(anti-)joining its lines with the runs.
+merged into one run of the next level, so a key is rewritten a logarithmic number of times.  As the last
+document keeps a line, all lines are joined once with the merged runs after the last batch.
 """
 
 from __future__ import annotations
