@@ -83,5 +83,35 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _murmur3(number: int, seed: int = 42) -> int:
+    """The hash by which Spark deals rows by one int column."""
+    mask = 0xFFFFFFFF
+    k = number * 0xCC9E2D51 & mask
+    k = ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+    h = seed ^ k
+    h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    h ^= 4
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def seat(number: Column, tasks: int) -> Column:
+    """A key for ``repartition(tasks, key)`` that puts rows with ``number`` n into partition n modulo ``tasks``.
+
+    Hashing few numbers would leave some partitions without any and others with several.
+    """
+    found: dict[int, int] = {}
+    k = 0
+    while len(found) < tasks:
+        found.setdefault(_murmur3(k) % tasks, k)
+        k += 1
+    table = F.array(*[F.lit(found[t]) for t in range(tasks)]) if tasks <= 4096 else None
+    if table is None:  # with so many, hashing is even enough
+        return number.cast("int")
+    return F.element_at(table, (number % tasks).cast("int") + 1)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

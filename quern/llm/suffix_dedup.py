@@ -2,17 +2,20 @@
 
 The sorted order of suffixes is built column by column (Bauer, Cox and Rosone, "Lightweight algorithms for
 constructing and inverting the BWT of string collections", TCS 2013; common prefixes as in Cox, Garofalo, Rosone
-and Sciortino, JDA 2016): in each round every document of a collection gets one more symbol, from its end to its
-start, which is inserted into the collection's Burrows-Wheeler transform and common-prefix array in one
-sequential pass.
-
-Rounds are as many as the longest document has bytes, and every round passes over everything so far, so whole
-texts are not fed to it.  Two steps that lose no match come first.  Every 50-byte string has an anchor, the
-20-byte string in it with the least hash; equal strings have equal anchors.  Strings whose anchor no other
-document has are unique.  The others are sent, as runs that share an anchor, to the hash range of the anchor,
-and the runs of one range are the collections: strings of 50 to 80 bytes, built in bounded chunks held in memory
-as columns (workers have no shared scratch files).  Runs of very frequent anchors are cut into single 50-byte
-strings that go by their own hash, so that no anchor is one task.
+and Sciortino, JDA 2016): in each round every string of a collection gets one more symbol at its front, which is
+inserted into the collection's Burrows-Wheeler transform, and common prefixes follow by range minima over those of
+the round before.
+
+On whole texts, rounds would be as many as the longest document has bytes, and every round would pass over
+everything so far.  A filter that loses no match comes first: every 50-byte string has an anchor, the 20-byte string
+in it with the least hash; equal strings have equal anchors at equal places.  Strings whose anchor no other document
+has are unique.  The others are sent, as runs that share an anchor, to the hash range of the anchor.  The runs of a
+range are a collection of strings of 50 to 80 bytes, written under each other with their anchors in the same columns.
+Only suffixes that start in one column can then begin with equal 50-byte strings, so the transform is kept by column
+(the positional form, Durbin, Bioinformatics 2014): a round reads the block of the column after it once and in
+sequence, and writes its own.  Blocks are arrays in memory, bounded by a range, because workers share no scratch files.
+Runs of very frequent anchors are cut into single 50-byte strings that go by their own hash, so that no anchor is one
+task; they are built in the same way.
 """
 
 from __future__ import annotations
@@ -21,21 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Work, release_memory, shuffle_partitions
+from quern.llm.common import Work, release_memory, seat, shuffle_partitions
 
 ANCHOR = 20
 #: Bytes of text in a block (a longer document is a block of its own), and in one step within it.
 BLOCK_BYTES, STEP_BYTES = 4_000_000, 120_000
-#: Anchors with more occurrences than this are split; a chunk of a collection has about so many strings.
-HOT, CHUNK = 20_000, 3_000
-#: Hash ranges per shuffle partition.
-RANGES = 6
+#: Runs of anchors with more occurrences than this go as single strings, by their own hash.
+HOT = 20_000
+#: Hash ranges per task; blocks per task at least, so that a range is bounded however much there is.
+RANGES, TASK_BLOCKS = 6, 64
 _LAST = np.iinfo(np.int64).max
 
 ROW = T.StructType([
@@ -43,8 +45,8 @@ ROW = T.StructType([
     T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType()), T.StructField("d", T.BinaryType()),
 ])
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
-#: Values of ``what``: blocks of texts, whether their anchors are shared, the earliest documents of their strings.
-TEXTS, FLAGS, EARLIEST = range(3)
+#: Values of ``what``: blocks of texts, whether their anchors are shared, whether earlier documents hold their strings.
+TEXTS, FLAGS, EARLIER = range(3)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,14 +140,48 @@ def _gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
     return _spread(out[: len(b) - size + 1])
 
 
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of equally long rows of bytes."""
+    h = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1)
+    return _spread(h)
+
+
+def _covered(first: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Which columns strings cover that start in column ``first``."""
+    columns = np.arange(width)
+    return (columns >= first[:, None]) & (columns < (first + sizes)[:, None])
+
+
+class _Strings:
+    """Strings under each other: bytes by column (0 where there are none), first column, places, smallest id, key."""
+
+    def __init__(self, rows: np.ndarray, first: np.ndarray, count: np.ndarray, least: np.ndarray, key: np.ndarray | None = None):
+        self.rows, self.first, self.count, self.least, self.key = rows, first, count, least, key
+
+    def cut(self, part: slice, size: int) -> tuple[bytes, ...]:
+        rows, first, count = self.rows[part], self.first[part], self.count[part]
+        flat = rows[_covered(first, count + size - 1, rows.shape[1])]
+        return np.column_stack((first, count)).astype(np.uint8).tobytes(), self.least[part].astype("<i8").tobytes(), _zip(flat.tobytes())
+
+    @classmethod
+    def joined(cls, cuts: list[tuple[bytes, ...]], size: int) -> _Strings:
+        first, count = np.concatenate([np.frombuffer(c[0], np.uint8) for c in cuts]).reshape(-1, 2).T.astype(np.int64)
+        width = 2 * size - ANCHOR
+        rows = np.zeros((len(first), width), np.uint8)
+        rows[_covered(first, count + size - 1, width)] = np.frombuffer(b"".join(_unzip(c[2]) for c in cuts), np.uint8)
+        return cls(rows, first, count, np.concatenate([np.frombuffer(c[1], "<i8") for c in cuts]))
+
+
 class _Block:
     def __init__(self, row: tuple):
         self.ids, self.null = np.frombuffer(row[3], "<i8"), np.frombuffer(row[4], bool)
         self.sizes, self.data = np.frombuffer(row[5], "<i8"), _unzip(row[6])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def occurrences(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of ``size``-byte strings with one anchor: first start, strings, document, and the anchor's hash."""
+    def occurrences(self, size: int) -> tuple[np.ndarray, ...]:
+        """Runs of ``size``-byte strings with one anchor: first start, strings, document, the anchor's hash and start."""
         span = size - ANCHOR + 1
         found, first, n = [], 0, len(self.sizes)
         while first < n:
@@ -158,7 +194,7 @@ class _Block:
             for at in range(low, max(high - size, low) + 1, STEP_BYTES):
                 found.append(self._step(at, min(at + STEP_BYTES + size - 1, high), size, span))
             first = last
-        return tuple(np.concatenate(c) for c in zip(*[f for f in found if f], strict=True)) if any(found) else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        return tuple(np.concatenate(c) for c in zip(*[f for f in found if f], strict=True)) if any(found) else (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     def _step(self, low: int, high: int, size: int, span: int):
         if high - low < size:
@@ -184,31 +220,41 @@ class _Block:
         keep = good[begins]
         begins, counts = begins[keep], counts[keep]
         # least hashes crowd near 0; spread once more, they fill the ranges evenly
-        return begins + low, counts, doc[begins], _spread(h[anchor[begins]])
+        return begins + low, counts, doc[begins], _spread(h[anchor[begins]]), anchor[begins] + low
 
-    def fragments(self, size: int, flags: np.ndarray):
-        """Strings to compare, sorted by key and content, with the smallest id; and what they were cut from.
+    def fragments(self, size: int, flags: np.ndarray) -> tuple[_Strings, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct strings to compare, sorted by key; and what they were cut from: first start, document, string.
 
-        ``flags`` are those of the sorted distinct anchors.  Returns the sorted [(key, string)], a dict of their
-        smallest ids, and [(first start, strings, document, (key, string))].
+        ``flags`` are those of the sorted distinct anchors.
         """
-        begins, counts, docs, anchors = self.occurrences(size)
-        flag = flags[np.unique(anchors, return_inverse=True)[1]] if len(anchors) else np.empty(0, np.uint8)
-        earliest: dict[tuple[int, bytes], int] = {}
-        cut = []
-        data, ids = self.data, self.ids.tolist()
-        shared = np.flatnonzero(flag)
-        for at, count, doc, key, f in zip(*(x[shared].tolist() for x in (begins, counts, docs, anchors, flag)), strict=True):
-            if f == 1:
-                parts = ((at, count, (key, data[at : at + count + size - 1])),)
-            else:
-                parts = tuple((at + k, 1, (xxhash.xxh3_64_intdigest(data[at + k : at + k + size]), data[at + k : at + k + size])) for k in range(count))
-            for start, n, what in parts:
-                seen = earliest.get(what)
-                if seen is None or ids[doc] < seen:
-                    earliest[what] = ids[doc]
-                cut.append((start, n, doc, what))
-        return sorted(earliest), earliest, cut
+        begin, count, doc, key, anchor = self.occurrences(size)
+        flag = flags[np.unique(key, return_inverse=True)[1]] if len(key) else np.empty(0, np.uint8)
+        some = flag > 0
+        begin, count, doc, key, anchor, flag = (x[some] for x in (begin, count, doc, key, anchor, flag))
+        span = size - ANCHOR + 1
+        padded = np.concatenate((np.zeros(span, np.uint8), np.frombuffer(self.data, np.uint8), np.zeros(size + span, np.uint8)))
+        hot = np.flatnonzero(flag > 1)
+        if len(hot):
+            n = count[hot]
+            each = np.repeat(hot, n)
+            start = begin[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            own = _row_hashes(np.lib.stride_tricks.sliding_window_view(padded, size)[start + span])
+            cold = flag == 1
+            begin, count, doc = (np.concatenate((x[cold], y)) for x, y in ((begin, start), (count, np.ones_like(start)), (doc, doc[each])))
+            key, anchor = np.concatenate((key[cold], own)), np.concatenate((anchor[cold], start))
+        first = span - 1 - (anchor - begin)
+        rows = np.lib.stride_tricks.sliding_window_view(padded, span - 1 + size)[anchor + 1]
+        rows = rows * _covered(first, count + size - 1, rows.shape[1])
+        order = np.lexsort((_row_hashes(rows) + (first * 256 + count).astype(np.uint64), key))
+        before, after = order[:-1], order[1:]
+        # equal hashes are held against the bytes themselves
+        unlike = (key[before] != key[after]) | (first[before] != first[after]) | (count[before] != count[after]) | (rows[before] != rows[after]).any(axis=1)
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), unlike)))
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(np.concatenate((np.zeros(min(1, len(order)), np.int64), unlike)))
+        least = np.minimum.reduceat(self.ids[doc[order]], head) if len(head) else np.empty(0, np.int64)
+        chosen = order[head]
+        return _Strings(rows[chosen], first[chosen], count[chosen], least, key[chosen]), begin, doc, which
 
 
 def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -217,12 +263,16 @@ def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
 
-def _shared_anchors(blocks: DataFrame, size: int, parts: int) -> DataFrame:
+def _tasks(parts: int) -> int:
+    return max(1, parts // RANGES)
+
+
+def _shared_anchors(blocks: DataFrame, size: int, parts: int, seats: Column) -> DataFrame:
     """Per block and part: 0, 1 or 2 for each distinct anchor, if one document, several, or very many have it."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (row,) in _runs(_rows(batches), 0):
-            _, _, docs, anchors = _Block(row).occurrences(size)
+            _, _, docs, anchors, _ = _Block(row).occurrences(size)
             order = np.argsort(anchors, kind="stable")
             anchors, docs = anchors[order], docs[order]
             first = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1]))) if len(anchors) else np.empty(0, np.int64)
@@ -250,78 +300,54 @@ def _shared_anchors(blocks: DataFrame, size: int, parts: int) -> DataFrame:
                 cut += n
 
     sent = blocks.mapInArrow(send, ROW)
-    return sent.repartition(max(1, parts // RANGES), "part").sortWithinPartitions("part", "block").mapInArrow(judge, ROW)
+    return sent.repartition(_tasks(parts), seats).sortWithinPartitions("part", "block").mapInArrow(judge, ROW)
 
 
-def column_wise(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order of a collection: string and start of each suffix, and its common prefix with the one before.
+def column_wise(rows: np.ndarray, cap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per column, from the last to the first: the suffixes that start there in their order, and common prefixes.
 
-    One symbol per string and round, from the ends; common prefixes are counted up to ``cap``.  Equal suffixes
-    are in the order of their strings.  Empty suffixes come first.
+    ``rows`` are strings of equal width.  In each round every string's next symbol is inserted: suffixes of the
+    column after it, in their order, are dealt to their symbols in one stable pass.  Two neighbours with one symbol
+    have one more in common than the least of the prefixes between their old places, counted up to ``cap``; others
+    have none.  Equal suffixes stay in the order of their strings.  An entry of the prefixes belongs to a suffix and
+    the one before it.
     """
-    m = len(strings)
-    sizes = np.array([len(s) for s in strings])
-    longest = int(sizes.max(initial=0))
-    stride = longest + cap
-    text = np.zeros((m, stride), np.int16)  # symbols from 1; 0 stands for the end
-    joined = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
-    text[np.repeat(np.arange(m), sizes), np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = joined
-    # one small number per symbol that occurs, in their order, so that a byte holds the transform
-    used = np.unique(text)
-    small = np.zeros(258, np.uint8 if len(used) < 256 else np.uint16)
-    small[used] = np.arange(len(used))
-    code = small[text]
-    heads = np.lib.stride_tricks.sliding_window_view(code.ravel(), cap)  # the first symbols of any suffix
-    bwt, who, prefix = np.zeros(m, code.dtype), np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-    at_text = (np.arange(m) * stride + sizes).astype(np.int32 if m * stride < 2**31 else np.int64)  # start of the suffix in each row
-    place = np.arange(m)
-    for k in range(longest):
-        active = np.flatnonzero(sizes > k)
-        at = place[active]
-        bwt[at] = code[active, sizes[active] - 1 - k]
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int32)
-        rank[order] = np.arange(len(bwt), dtype=np.int32)
-        # rows without a symbol (whole strings) sort first; suffixes begin after the m empty ones
-        new = rank[at].astype(np.int64) - np.count_nonzero(bwt == 0) + m
-        n = len(bwt) + len(active)
-        old = np.ones(n, bool)
-        old[new] = False
-        old = np.flatnonzero(old)
-        grown = []
-        for column, value in ((bwt, 0), (who, active), (at_text, active * stride + sizes[active] - 1 - k), (prefix, 0)):
-            wider = np.empty(n, column.dtype)
-            wider[old], wider[new] = column, value
-            grown.append(wider)
-        bwt, who, at_text, prefix = grown
-        place[active] = new
-        # common prefixes change at the new rows and at the rows after them
-        touched = np.zeros(n + 1, bool)
-        touched[new] = touched[new + 1] = True
-        touched = np.flatnonzero(touched[:n])
-        here, before = heads[at_text[touched]], heads[at_text[touched - 1]]
-        unlike = (here != before) | (here == 0)
-        first = unlike.argmax(axis=1)
-        prefix[touched] = np.where(unlike[np.arange(len(first)), first], first, cap)
-    return who, at_text - who * stride, prefix
-
-
-def _earliest_in(strings: list[bytes], firsts: list[int], size: int) -> list[np.ndarray]:
-    """For each string, the smallest id that holds each of its ``size``-byte strings, from the suffix order."""
-    who, begin, prefix = column_wise(strings, size)
-    sizes = np.array([len(s) for s in strings])
-    whole = begin + size <= sizes[who]
-    group = np.cumsum(prefix < size)[whole]
-    who, begin = who[whole], begin[whole]
-    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.minimum.reduceat(np.array(firsts, np.int64)[who], starts)[np.cumsum(np.concatenate(([False], group[1:] != group[:-1])))]
-    out = [np.empty(n - size + 1, np.int64) for n in sizes]
-    bounds = np.cumsum(sizes - size + 1)
-    flat = np.empty(bounds[-1], np.int64)
-    flat[(bounds - (sizes - size + 1))[who] + begin] = least
-    for f, (stop, o) in enumerate(zip(bounds, out, strict=True)):
-        out[f] = flat[stop - len(o) : stop]
-    return out
+    n, width = rows.shape
+    columns = np.ascontiguousarray(rows.T)
+    order, prefix = np.arange(n), np.zeros(n, np.uint8)
+    for at in range(width - 1, -1, -1):
+        transform = columns[at][order]
+        moved = np.argsort(transform, kind="stable")
+        symbol = transform[moved]
+        same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+        low, high = moved[same - 1] + 1, moved[same]
+        level = np.frexp(high - low + 1)[1] - 1
+        least = np.empty(len(same), np.uint8)
+        minima = prefix
+        for k in range(int(level.max(initial=-1)) + 1):
+            mine = np.flatnonzero(level == k)
+            least[mine] = np.minimum(minima[low[mine]], minima[high[mine] + 1 - (1 << k)])
+            minima = np.minimum(minima[: -(1 << k)], minima[1 << k :])
+        order, prefix = order[moved], np.zeros(n, np.uint8)
+        prefix[same] = np.minimum(least, cap - 1) + 1
+        yield at, order, prefix
+
+
+def _earlier(strings: _Strings, size: int) -> np.ndarray:
+    """For each place of each string, whether an id before its own holds the ``size``-byte string there."""
+    n, width = strings.rows.shape
+    found = np.zeros((n, width - size + 1), bool)
+    for at, order, prefix in column_wise(strings.rows, size):
+        if at > width - size:
+            continue
+        # strings that do not cover the place hold nothing there
+        here = (strings.first[order] <= at) & (at < (strings.first + strings.count)[order])
+        order, group = order[here], np.cumsum(prefix < size)[here]
+        if len(order):
+            fresh = np.concatenate(([True], group[1:] != group[:-1]))
+            ids = strings.least[order]
+            found[order, at] = np.minimum.reduceat(ids, np.flatnonzero(fresh))[np.cumsum(fresh) - 1] < ids
+    return found[_covered(strings.first, strings.count, width - size + 1)]
 
 
 def _with_flags(rows: list[tuple]) -> tuple[_Block, np.ndarray]:
@@ -329,58 +355,30 @@ def _with_flags(rows: list[tuple]) -> tuple[_Block, np.ndarray]:
     return _Block(rows[0]), np.concatenate(flags) if flags else np.empty(0, np.uint8)
 
 
-def _earliest(met: DataFrame, size: int, parts: int) -> DataFrame:
-    """Per block and part: the smallest ids for the strings that the block sent, in its order."""
+def _held_earlier(met: DataFrame, size: int, parts: int, seats: Column) -> DataFrame:
+    """Per block and part: for the places of the strings that the block sent, whether an id before theirs holds them."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(_rows(batches), 0):
             block, flags = _with_flags(rows)
-            what, earliest, _ = block.fragments(size, flags)
-            cuts, out = _parts_of(np.array([k for k, _ in what], np.uint64), parts), []
+            strings = block.fragments(size, flags)[0]
+            cuts, out = _parts_of(strings.key, parts), []
             for p in np.flatnonzero(np.diff(cuts)).tolist():
-                mine = what[cuts[p] : cuts[p + 1]]
-                out.append((
-                    rows[0][0], EARLIEST, p, np.array([k for k, _ in mine], np.uint64).tobytes(),
-                    np.array([earliest[x] for x in mine], "<i8").tobytes(), np.array([len(s) for _, s in mine], "<i4").tobytes(),
-                    _zip(b"".join(s for _, s in mine)),
-                ))
+                out.append((rows[0][0], EARLIER, p, *strings.cut(slice(cuts[p], cuts[p + 1]), size), None))
             yield _batch(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(_rows(batches), 2):
-            groups: dict[int, dict[bytes, int]] = {}
-            sent = []
+            strings = _Strings.joined([r[3:6] for r in rows], size)
+            found, at, string = _earlier(strings, size), 0, 0
+            places = np.cumsum(strings.count)
             for r in rows:
-                data, at, mine = _unzip(r[6]), 0, []
-                for key, doc, n in zip(np.frombuffer(r[3], np.uint64).tolist(), np.frombuffer(r[4], "<i8").tolist(), np.frombuffer(r[5], "<i4").tolist(), strict=True):
-                    s = data[at : at + n]
-                    at += n
-                    group = groups.setdefault(key, {})
-                    group[s] = min(group.get(s, _LAST), doc)
-                    mine.append((key, s))
-                sent.append(mine)
-            found: dict[tuple[int, bytes], np.ndarray] = {}
-            chunk: list[tuple[int, bytes]] = []
-
-            def build(chunk=chunk, found=found, groups=groups):
-                if chunk:
-                    found.update(zip(chunk, _earliest_in([s for _, s in chunk], [groups[k][s] for k, s in chunk], size), strict=True))
-                    chunk.clear()
-
-            for key, group in groups.items():
-                if len(group) == 1:  # one string, whatever the number of its copies
-                    (s, doc), = group.items()
-                    found[key, s] = np.full(len(s) - size + 1, doc)
-                    continue
-                chunk.extend((key, s) for s in group)
-                if len(chunk) >= CHUNK:
-                    build()
-            build()
-            for r, mine in zip(rows, sent, strict=True):
-                yield _batch([(r[0], EARLIEST, r[2], _zip(np.concatenate([found[x] for x in mine]).astype("<i8").tobytes()), None, None, None)])
-
-    sent = met.mapInArrow(send, ROW)
-    return sent.repartition(max(1, parts // RANGES), "part").sortWithinPartitions("part", "block").mapInArrow(compare, ROW)
+                string += len(r[3]) // 2
+                stop = int(places[string - 1])
+                yield _batch([(r[0], EARLIER, r[2], _zip(found[at:stop].tobytes()), None, None, None)])
+                at = stop
+
+    return met.mapInArrow(send, ROW).repartition(_tasks(parts), seats).sortWithinPartitions("part", "block").mapInArrow(compare, ROW)
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,12 +391,13 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     if size < ANCHOR + 1 or size > 255:
         raise ValueError(f"size must be from {ANCHOR + 1} to 255: {size}")
     work = Work(docs.sparkSession, "suffixes")
-    tasks = max(1, shuffle_partitions(docs))
-    parts = RANGES * tasks  # several small ranges to a task: even loads, and only one range in memory
     blocks = work.save(_blocks(docs.select(F.col(id_col).cast("long"), F.col(text_col))), "blocks", "uncompressed")
+    tasks = max(1, shuffle_partitions(docs), blocks.count() // TASK_BLOCKS)
+    parts = RANGES * tasks  # several small ranges to a task: even loads, and only one range in memory
+    seats = seat(F.floor(F.col("part") / RANGES), tasks)
     meet = lambda *tables: _union(blocks, *tables).repartition(tasks, "block").sortWithinPartitions("block", "what", "part")
-    flags = work.save(_shared_anchors(blocks, size, parts), "flags")
-    earliest = work.save(_earliest(meet(flags), size, parts), "earliest")
+    flags = work.save(_shared_anchors(blocks, size, parts, seats), "flags")
+    earlier = work.save(_held_earlier(meet(flags), size, parts, seats), "earlier")
     schema = T.StructType([
         T.StructField(id_col, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -409,17 +408,16 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(_rows(batches), 0):
             block, shared = _with_flags(rows)
-            what, _, cut = block.fragments(size, shared)
-            least = [np.frombuffer(_unzip(r[3]), "<i8") for r in rows if r[1] == EARLIEST]
-            least = np.concatenate(least) if least else np.empty(0, np.int64)
-            heads = np.cumsum([0, *(len(s) - size + 1 for _, s in what)])
-            at = dict(zip(what, heads.tolist(), strict=False))
+            strings, begin, doc, which = block.fragments(size, shared)
+            early = [np.frombuffer(_unzip(r[3]), bool) for r in rows if r[1] == EARLIER]
             depth = np.zeros(len(block.data) + 1, np.int32)
-            if cut:
-                begin, n, doc, head = (np.array(c) for c in zip(*((b, n, d, at[w]) for b, n, d, w in cut), strict=True))
+            if early:
+                n = strings.count[which]
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                early = least[np.repeat(head, n) + step] < np.repeat(block.ids[doc], n)
-                gone = (np.repeat(begin, n) + step)[early]
+                heads = np.cumsum(strings.count) - strings.count
+                # an earlier one elsewhere, or in this block
+                gone = np.concatenate(early)[np.repeat(heads[which], n) + step] | np.repeat(strings.least[which] < block.ids[doc], n)
+                gone = (np.repeat(begin, n) + step)[gone]
                 depth += np.bincount(gone, minlength=len(depth)).astype(np.int32) - np.bincount(gone + size, minlength=len(depth)).astype(np.int32)
             covered = np.cumsum(depth)[:-1] > 0
             out = [[], [], [], []]
@@ -437,7 +435,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
                 [ids, *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.list_(span), pa.binary()), strict=True))], names=schema.names
             )
 
-    return meet(flags, earliest).mapInArrow(remove, schema)
+    return meet(flags, earlier).mapInArrow(remove, schema)
 
 
 def _union(*tables: DataFrame) -> DataFrame:

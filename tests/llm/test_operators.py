@@ -359,7 +359,6 @@ def test_js_distance(spark):
 def test_suffix_dedup(docs, pairs, empty, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 700)
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 20)
     expected = brute.repeats(pairs)
 
     def check():
@@ -377,14 +376,26 @@ def test_suffix_dedup(docs, pairs, empty, monkeypatch):
 
 def test_column_wise_is_the_suffix_order():
     r = random.Random(6)
-    strings = [bytes(r.choice(b"ab\xff\x00") for _ in range(r.randint(1, 30))) for _ in range(40)] + [b"abab" * 6] * 2
-    who, begin, prefix = suffix_dedup.column_wise(strings, 9)
-    expected = sorted((s[i:], f, i) for f, s in enumerate(strings) for i in range(len(s) + 1))
-    assert [(f, i) for _, f, i in expected] == list(zip(who.tolist(), begin.tolist(), strict=True))
-    for k in range(1, len(expected)):
-        a, b = expected[k - 1][0], expected[k][0]
-        common = next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        assert prefix[k] == min(common, 9)
+    strings = [bytes(r.choice(b"ab\xff\x00") for _ in range(30)) for _ in range(40)] + [b"abab" * 7 + b"ab"] * 2 + [b"\x00" * 30] * 3
+    seen = set()
+    for at, order, prefix in suffix_dedup.column_wise(np.array([list(s) for s in strings], np.uint8), 9):
+        seen.add(at)
+        expected = sorted((s[at:], f) for f, s in enumerate(strings))
+        assert [f for _, f in expected] == order.tolist()
+        assert prefix[0] == 0
+        for k in range(1, len(expected)):
+            a, b = expected[k - 1][0], expected[k][0]
+            common = next((j for j, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+            assert prefix[k] == min(common, 9)
+    assert seen == set(range(30))
+    assert not list(suffix_dedup.column_wise(np.empty((0, 0), np.uint8), 9))
+
+
+def test_dealt_tasks_have_one_number_each(spark):
+    from quern.llm.common import seat
+
+    rows = spark.range(37).repartition(37, seat(F.col("id"), 37)).select("id", F.spark_partition_id().alias("p")).collect()
+    assert all(r["id"] == r["p"] for r in rows)
 
 
 # 9
