@@ -42,9 +42,10 @@ class Work:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+        """Write and read again; ``by`` names a column of few values that gets a folder per value."""
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(at)
+        df.write.mode("overwrite").option("compression", codec).parquet(at, partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:

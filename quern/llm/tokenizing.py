@@ -23,16 +23,19 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class ByteBpe:
-    """``encode(text) -> list of ids``; special tokens' strings are ordinary text.
+    """``encode(text) -> list of ids``, the same as the file's own library gives without added special tokens.
 
-    Ids are those of the file's vocabulary.  Where merges are numbered in vocabulary order (checked on
-    load), ranks and merges say the same and the rank-based encoder is used; else the file's own library.
+    Where merges are numbered in vocabulary order (checked on load), ranks and merges say the same and the
+    rank-based encoder is used; else, and for texts that hold one of the file's added tokens, the library.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, self._path, self._slow = whole["model"], path, None
         vocab, merges = model["vocab"], model["merges"]
+        added = [re.escape(t["content"]) for t in whole.get("added_tokens") or [] if t["content"]]
+        self._added = re.compile("|".join(added)) if added else None
         pairs = [m if isinstance(m, str) else " ".join(m) for m in merges]
         base = len(vocab) - len(pairs)
         self._fast = None
@@ -46,17 +49,19 @@ class ByteBpe:
                 if all(c in alphabet for c in token) and i < 256 + len(pairs)
             }
             self._fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        else:
+
+    def _library(self, text: str) -> list[int]:
+        if self._slow is None:
             from tokenizers import Tokenizer
 
-            self._slow = Tokenizer.from_file(path)
-            self._slow.encode_special_tokens = True
+            self._slow = Tokenizer.from_file(self._path)
+        return self._slow.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        if self._fast is None:
-            return self._slow.encode(text, add_special_tokens=False).ids
+        if self._fast is None or (self._added and self._added.search(text)):
+            return self._library(text)
         if not _CUT.search(text):
             return self._fast.encode_ordinary(text)
         return [i for part in _CUT.split(text) for i in self._fast.encode_ordinary(part)]

@@ -25,6 +25,10 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, path), 256)
 
 
+def _short(digest: Column, digits: int) -> Column:
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+
+
 def judge_urls(
     pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url",
     prefix_digits: int = 8,
@@ -34,8 +38,9 @@ def judge_urls(
     A rule is a host, then a path from its first ``/`` on.  It fits that host and its subdomains if the page's
     path starts with the rule's.  Of equally long rules a block wins; of equal rules that disagree, too.  Each
     URL is expanded to all suffixes of its host times its path's prefixes of those lengths that rules have;
-    expressions and rules meet on the first ``prefix_digits`` digits of SHA-256 and are confirmed on all of it.
-    Repeated rows come back as often; a page without a rule has a null rule and the ``default`` verdict.
+    expressions and rules meet on the first ``prefix_digits`` digits of SHA-256, as a number, and what meets is
+    confirmed on all of it.  Repeated rows come back as often; a page without a rule has a null rule and the
+    ``default`` verdict; a null url has an empty host and path.  Rules that are null or repeated change nothing.
     """
     cut = F.locate("/", F.col("rule"))
     known = rules.where("rule is not null").select(
@@ -47,7 +52,7 @@ def judge_urls(
         "rule", "verdict", F.length("rule").alias("size"), F.length("r_path").alias("r_len"),
         _digest(F.col("r_host"), F.col("r_path")).alias("digest"),
     )
-    known = known.withColumn("short", F.substring("digest", 1, prefix_digits))
+    known = known.withColumn("short", _short(F.col("digest"), prefix_digits))
     # the lengths of rule paths, a set bounded by the longest URL and checked as any broadcast
     facts = known.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("r_len")).alias("lengths")).first()
     lengths = [int(x) for x in facts["lengths"]] or [0]
@@ -70,9 +75,9 @@ def judge_urls(
     exploded = page.withColumn("_row", row).select("*", F.explode_outer(both).alias("_expr"))
     exploded = exploded.withColumn("_digest", F.sha2("_expr", 256))
     side = F.broadcast(known) if facts["n"] <= BROADCAST_ROWS else known
-    matched = exploded.join(
-        side, (F.substring("_digest", 1, prefix_digits) == F.col("short")) & (F.col("_digest") == F.col("digest")), "left"
-    )
+    # an equality of digests would become a join key; a prefix test of equally long strings stays a confirmation
+    met = (_short(F.col("_digest"), prefix_digits) == F.col("short")) & F.startswith(F.col("_digest"), F.col("digest"))
+    matched = exploded.join(side, met, "left")
     strength = F.when(
         F.col("rule").isNotNull(),
         F.struct("size", (F.col("verdict") == "block").alias("blocks"), "rule", F.col("verdict").alias("said")),

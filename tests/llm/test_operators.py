@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -31,8 +32,7 @@ def test_tokenizer_matches_the_library(pairs):
     from tokenizers import Tokenizer
 
     slow, fast = Tokenizer.from_file(VOCABULARY), ByteBpe(VOCABULARY)
-    slow.encode_special_tokens = True
-    odd = ["a  b", "\n\n x", " \t y  ", "it's  we'll\r\n\r\nend  ", "　 wide", "<|endoftext|> x", "1234 5", "é" * 50, "a\u00a0\u00a0b", "\u200b\u200bz"]
+    odd = ["a  b", "\n\n x", " \t y  ", "it's  we'll\r\n\r\nend  ", "　 wide", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "1234 5", "é" * 50, "a\u00a0\u00a0b", "\u200b\u200bz"]
     for t in odd + [t or "" for _, t in pairs]:
         assert fast.encode(t) == slow.encode(t, add_special_tokens=False).ids, repr(t[:40])
 
@@ -419,6 +419,15 @@ def test_urls(spark):
     assert url_rules.judge_urls(pages.limit(0), url_rules.rules_table(spark, RULES)).count() == 0
 
 
+def test_urls_meet_on_the_short_prefix_alone(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    judged = url_rules.judge_urls(pages, url_rules.rules_table(spark, RULES), prefix_digits=1)  # nearly all prefixes collide
+    assert [r["verdict"] for r in judged.collect()] == ["block"]
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    join = next(x for x in plan.splitlines() if "HashJoin" in x)
+    assert re.search(r"bigint\)\], \[short#\d+L\], LeftOuter", join) and "StartsWith(_digest" in join
+
+
 # 10
 
 
@@ -433,16 +442,56 @@ def test_lines(docs, pairs, empty):
     assert line_runs.dedup_lines(docs).drop("_n_lines", "_n_dropped").columns == docs.columns
 
 
-def test_runs_compact_and_find_unseen(spark):
-    runs = line_runs.LineRuns(Work(spark, "test-runs"), fan_out=2)
-    make = lambda ids: line_runs.keyed_lines(spark.createDataFrame([(i, f"line number {i % 5} of the text") for i in ids], "doc_id long, text string"), "doc_id", "text", 5)
-    assert runs.unseen(make(range(3))).count() == 3
+def made_lines(spark, ids):
+    return line_runs.keyed_lines(spark.createDataFrame([(i, f"line number {i % 5} of the text") for i in ids], "doc_id long, text string"), "doc_id", "text", 5)
+
+
+def run_keys(lines):
+    return lines.groupBy("h1", "h2").agg(F.max("doc").alias("last_doc"))
+
+
+def test_runs_compact_and_a_later_batch_goes_on_from_them(spark):
+    path = Work(spark, "test-runs").path
+    runs = line_runs.LineRuns(spark, path, fan_out=2)
     for k in range(5):
-        runs.add(make(range(10 * k, 10 * k + 4)))
+        runs.add(made_lines(spark, range(10 * k, 10 * k + 4)))
+        if k == 2:
+            runs.close()
+            runs = line_runs.LineRuns(spark, path)  # opened again, by its manifest
+            assert [len(x) for x in runs.levels] == [1, 1]
     assert len(runs.levels) == 3 and [len(x) for x in runs.levels] == [1, 0, 1]
-    merged = runs.merged().collect()
-    assert sorted((r["n_docs"], r["last_doc"]) for r in merged) == [(5, 40), (5, 41), (5, 42), (5, 43)]
-    assert runs.unseen(make(range(5))).count() == 1
+    assert sorted((r["n_docs"], r["last_doc"]) for r in runs.merged().collect()) == [(5, 40), (5, 41), (5, 42), (5, 43)]
+    # a merge needs no shuffle
+    merge = runs._merged([n for level in runs.levels for n in level])
+    assert "Exchange" not in merge._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["n_docs"], r["last_doc"]) for r in merge.collect()) == [(5, 40), (5, 41), (5, 42), (5, 43)]
+    runs.close()
+
+
+def test_each_batch_adds_only_keys_that_are_not_settled(spark):
+    runs = line_runs.LineRuns(spark, Work(spark, "test-runs").path, fan_out=9, enough=2)
+    runs.add(made_lines(spark, [100, 105, 101]))  # key 0 in two documents, key 1 in one
+    batch = made_lines(spark, [50, 51, 52])
+    assert sorted(r["last_doc"] for r in runs.unseen(run_keys(batch)).collect()) == [51, 52]
+    runs.add(batch)
+    assert sorted((r["n_docs"], r["last_doc"]) for r in runs.merged().collect()) == [(1, 52), (2, 101), (2, 105)]
+    # a larger id is not left out, whatever the order of batches
+    runs.add(made_lines(spark, [200]))
+    assert sorted((r["n_docs"], r["last_doc"]) for r in runs.merged().collect()) == [(1, 52), (2, 101), (3, 200)]
+    runs.close()
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_lines_in_any_number_of_batches(docs, pairs, batches):
+    got = by_id(line_runs.dedup_lines(docs, batches=batches))
+    assert {i: (r["_n_lines"], r["_n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for i, r in got.items()} == brute.lines(pairs)
+
+
+def test_lines_of_text_ids_and_clashing_names(spark):
+    rows = [(k, "a line that all documents hold\nown line of " + k, 1, 2) for k in "abcd"]
+    got = line_runs.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string, _n_lines int, pos int"))
+    assert got.columns == ["doc_id", "text", "pos", "_n_lines", "_n_dropped"]
+    assert {r["doc_id"]: r["_n_dropped"] for r in got.collect()} == {"a": 1, "b": 1, "c": 1, "d": 0}
 
 
 # pipeline
