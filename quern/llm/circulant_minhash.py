@@ -2,19 +2,26 @@
 
 Li and Li, "C-MinHash: Rigorously Reducing K Permutations to Two" (ICML 2022): a first permutation scatters
 the shingles, a second one, circularly shifted k times, gives signature coordinate k.  Both are bijections of
-the 32-bit numbers.  Documents with equal shingle sets are one node.  Nodes that share a band are grouped; a
-group's full sets meet in tasks of bounded size, where every pair is decided exactly through an inverted index.
+the 32-bit numbers.  Documents with equal shingle sets are one node.
+
+Nodes that share a band are a bucket, and buckets with the same smallest node (their head) are a group.  Full sets of a
+group meet in tasks of bounded size, where an inverted index decides pairs exactly.  Only links that hold are joined
+into components; candidates are never chained.  Within a task, documents that the largest component has taken up are
+not compared with each other, so a group of near copies takes about as many comparisons as it has documents.  A group
+over several blocks meets its head in each; then those of its members that are outside of its largest component meet
+all others.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +30,7 @@ from quern.llm.components import components
 
 #: A pair at the threshold shares no band with at most this probability.
 MISS = 1e-5
-#: A group's sets are dealt into blocks of about so many shingles and documents; tasks hold two blocks.
+#: A group's sets are dealt into blocks of about so many shingles and documents.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 2_000
 
 
@@ -100,145 +107,234 @@ def _features(docs: DataFrame, size: int, rows: int, bands: int, id_col: str, te
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col)).mapInArrow(work, schema)
 
 
+class _Index:
+    """An inverted index of sets, which counts what one set shares with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        values, self.owner = flat[order], owner[order]
+        self.starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        self.values, self.lengths = values[self.starts], np.diff(np.append(self.starts, len(values)))
+
+    def similar(self, one: np.ndarray, percent: int) -> np.ndarray:
+        """Numbers of the sets with 100 |A & B| >= percent |A | B|."""
+        at = np.minimum(np.searchsorted(self.values, one), len(self.values) - 1)
+        at = at[self.values[at] == one]
+        if 100 * len(at) < percent * len(one):
+            return at[:0]  # too few of its shingles occur here
+        take = self.lengths[at]
+        spots = np.repeat(self.starts[at] - np.cumsum(take) + take, take) + np.arange(take.sum())
+        both = np.bincount(self.owner[spots], minlength=len(self.sizes))
+        return np.flatnonzero(100 * both >= percent * (len(one) + self.sizes - both))
+
+
+class _Forest:
+    """Components of what is linked so far, their sizes and the links that joined them."""
+
+    def __init__(self, n: int):
+        self.at, self.size, self.largest, self.links = list(range(n)), [1] * n, None, []
+
+    def find(self, x: int) -> int:
+        while self.at[x] != x:
+            self.at[x] = self.at[self.at[x]]
+            x = self.at[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.at[b] = a
+            self.size[a] += self.size[b]
+            self.links.append((x, y))
+            if self.largest is None or self.size[a] > self.size[self.find(self.largest)]:
+                self.largest = a
+
+    def in_largest(self, x: int) -> bool:
+        return self.largest is not None and self.find(x) == self.find(self.largest)
+
+
 def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 |A & B| >= percent |A | B|.
 
-    An inverted index counts each document's shared shingles with all earlier ones, so no pair is overlooked.
+    Every document outside of the largest component in the end was compared with all; documents inside are joined
+    already.  So no link is overlooked that joins components.
     """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    values, owner = flat[order], owner[order]
-    fresh = np.concatenate(([True], values[1:] != values[:-1]))
-    group = np.cumsum(fresh) - 1
-    starts = np.flatnonzero(fresh)
-    lengths = np.diff(np.append(starts, len(values)))
-    # where each document's shingles that others hold too stand in the index
-    shared = lengths[group] > 1
-    by_doc = np.argsort(owner[shared], kind="stable")
-    doc_groups = group[shared][by_doc]
-    bounds = np.searchsorted(owner[shared][by_doc], np.arange(n + 1))
-    at = list(range(n))
-
-    def find(x):
-        while at[x] != x:
-            at[x] = at[at[x]]
-            x = at[x]
-        return x
-
-    links = []
-    for i in range(n):
-        mine = doc_groups[bounds[i] : bounds[i + 1]]
-        if 100 * len(mine) < percent * sizes[i]:
-            continue  # too few of its shingles occur elsewhere
-        take = lengths[mine]
-        spots = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(take)[:-1])), take) + np.arange(take.sum())
-        both = np.bincount(owner[spots], minlength=n)[:i]
-        good = np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[:i] - both))
-        for j in good.tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                at[max(a, b)] = min(a, b)
-                links.append((int(ids[i]), int(ids[j])))
-    return links
-
-
-def _candidate_groups(nodes: DataFrame, work: Work) -> DataFrame:
-    """``node, grp`` for nodes that share a band with another node, chained."""
+    index, forest = _Index(sets), _Forest(len(sets))
+    todo, passed = deque(range(len(sets))), []
+    while todo:
+        i = todo.popleft()
+        if forest.in_largest(i):
+            passed.append(i)
+        else:
+            for j in index.similar(sets[i], percent).tolist():
+                forest.join(i, j)
+        if not todo:  # another component may have become the largest
+            todo.extend(i for i in passed if not forest.in_largest(i))
+            passed = []
+    return [(int(ids[i]), int(ids[j])) for i, j in forest.links]
+
+
+def linked_between(ids: np.ndarray, sets: list[np.ndarray], asked: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of the documents numbered ``asked`` with all."""
+    index, forest = _Index(sets), _Forest(len(sets))
+    for i in asked.tolist():
+        for j in index.similar(sets[i], percent).tolist():
+            forest.join(i, j)
+    return [(int(ids[i]), int(ids[j])) for i, j in forest.links]
+
+
+def _groups(nodes: DataFrame, work: Work) -> DataFrame:
+    """``grp, node`` of nodes that share a band with another, by the smallest node of the band; the head is in its group."""
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    heads = bands.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head")
-    stars = bands.join(heads, "band").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    found = components(stars, work, "candidates")
-    heads = found.select(F.col("component").alias("node")).distinct().withColumn("grp", F.col("node"))
-    return work.save(found.select("node", F.col("component").alias("grp")).unionByName(heads), "groups")
+    heads = bands.groupBy("band").agg(F.min("node").alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "grp")
+    return work.save(bands.join(heads, "band").select("grp", "node").distinct(), "groups")
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 6, id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """Per document ``id, n_shingles, component_id, kept``; ids are integers, one per document.
+def _blocks(shingles: Column, members: Column) -> Column:
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(members / BLOCK_DOCS), F.lit(1)).cast("int")
 
-    Documents whose sets of ``size``-word shingles satisfy 100 |A & B| >= ``percent`` |A | B| are linked, and a
-    component is named by its smallest id.  Without words or text a document has no shingles and no link.  Rows
-    with a null id are returned with null component and ``kept`` false; rows that share an id are one node, of
-    which every row is returned.
-    """
-    spark = docs.sparkSession
-    work = Work(spark, "minhash")
-    bands = bands_for(percent / 100, rows)
-    found = work.save(_features(docs, size, rows, bands, id_col, text_col), "features")
-    named = found.where("doc is not null and set_key is not null")
-    # equal sets are one node, named by the smallest id
-    nodes = work.save(
-        named.groupBy("set_key").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "nodes"
-    )
-    groups = _candidate_groups(nodes, work)
-    sized = work.save(groups.join(nodes.select("node", "n"), "node"), "sized")
-    totals = sized.groupBy("grp").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
-    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_DOCS)).cast("int")
-    large = totals.select("grp", blocks.alias("blocks")).where("blocks > 1")
-    placed = sized.select("node", "grp").join(checked_broadcast(work.save(large, "large")), "grp", "left")
-    placed = work.save(placed.select("node", "grp", F.coalesce("blocks", F.lit(1)).alias("blocks")), "placed")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    chosen = texts.join(checked_broadcast(placed), "node")
-    edges = work.save(_verified(chosen, size, percent, max(1, shuffle_partitions(docs))), "edges")
-    linked_nodes = components(edges, work, "links")
-    copies = found.join(nodes.select("set_key", "node"), "set_key", "left")
-    whole = copies.join(linked_nodes, "node", "left")
-    component = F.coalesce("component", "node", "doc")
-    return whole.select(
-        F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"),
-    )
 
+def _with_sets(docs: DataFrame, nodes: DataFrame, placed: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+    """Links ``u, v`` found where sets meet.
 
-def _verified(chosen: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
-    """Edges ``u, v`` of the exact links within groups, from ``node, text, grp, blocks``."""
+    ``placed`` has ``node``, and in ``at`` (part, asked) for each task that its set goes to.  Tasks without asked
+    documents compare all with all; in others the asked ones are compared with all.
+    """
     dealt = T.StructType([
-        T.StructField("part", T.LongType()), T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType()),
+        T.StructField("part", T.LongType()), T.StructField("node", T.LongType()), T.StructField("asked", T.BooleanType()),
+        T.StructField("shingles", T.BinaryType()),
     ])
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(3)]
-            for node, text, grp, blocks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out = [[] for _ in kinds]
+            for text, node, key, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = shingle_set(text or "", size).tobytes()
-                own = xxhash.xxh3_64_intdigest(str(node)) % blocks
-                for other in range(blocks):
-                    low, high = min(own, other), max(own, other)
-                    part = xxhash.xxh3_64_intdigest(f"{grp}:{low}:{high}") >> 1
-                    for column, x in zip(out, (part, node, raw), strict=True):
+                if xxhash.xxh3_128_digest(raw) != key:
+                    continue  # another text under the same id
+                for place in at:
+                    for column, x in zip(out, (place["part"], node, place["asked"], raw), strict=True):
                         column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=dealt.names)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows):
-            by_node = dict(rows)  # rows that share an id are one document
-            if len(by_node) < 2:
+            sets = {node: raw for node, _, raw in rows}  # repeated documents
+            if len(sets) < 2:
                 return []
-            return linked(np.array(list(by_node)), [np.frombuffer(x, np.uint64) for x in by_node.values()], percent)
+            ids, found = np.array(list(sets)), [np.frombuffer(x, np.uint64) for x in sets.values()]
+            asked = {node for node, is_asked, _ in rows if is_asked}
+            if asked:
+                return linked_between(ids, found, np.flatnonzero([k in asked for k in sets]), percent)
+            return linked(ids, found, percent)
+
+        def links(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         at, rows, out = None, [], []
         for batch in batches:
-            for part, node, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for part, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part != at:
                     out += flush(rows)
                     at, rows = part, []
-                rows.append((node, raw))
+                rows.append(row)
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+                yield links(out)
                 out = []
-        out += flush(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        yield links(out + flush(rows))
+
+    chosen = placed.join(nodes.select("node", "doc", "set_key"), "node")
+    texts = docs.join(checked_broadcast(chosen), "doc").select("text", "node", "set_key", "at")
+    return texts.mapInArrow(deal, dealt).repartition(parts, "part").sortWithinPartitions("part", "node").mapInArrow(verify, "u long, v long")
+
+
+def _named(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """``node, component`` of all nodes."""
+    return nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 6, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Per row ``id, n_shingles, component_id, kept``; ids are integers.
+
+    Documents whose sets of ``size``-word shingles satisfy 100 |A & B| >= ``percent`` |A | B| are linked, and a
+    component is named by its smallest id.  Null or without words, a text has no shingles and no link.  Rows with a null
+    id are returned with null component and ``kept`` false; rows that share an id are in one component, whatever their
+    texts, and each is returned.  Only the two columns are read; others may have any name.
+    """
+    spark = docs.sparkSession
+    work, parts = Work(spark, "minhash"), max(1, shuffle_partitions(docs))
+    bands = bands_for(percent / 100, rows)
+    found = work.save(_features(docs, size, rows, bands, id_col, text_col), "features")
+    named = found.where("doc is not null and set_key is not null")
+    # equal sets are one node, under the smallest id that holds them
+    nodes = named.groupBy("set_key").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    nodes = work.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+
+    groups = _groups(nodes, work)
+    sized = groups.join(nodes.select("node", "n"), "node")
+    totals = work.save(sized.groupBy("grp").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks")), "totals")
+    large = work.save(totals.where("blocks > 1"), "large")
+    placed = groups.join(checked_broadcast(large), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    part = lambda *x: F.shiftrightunsigned(F.xxhash64(*x), 1)
+    seats = placed.select("node", F.col("grp"), F.explode(F.when(F.col("node") == F.col("grp"), every).otherwise(own)).alias("b"))
+    seats = seats.groupBy("node").agg(F.collect_list(F.struct(part("grp", "b").alias("part"), F.lit(False).alias("asked"))).alias("at"))
+    links = work.save(_with_sets(texts, nodes, work.save(seats, "seats"), size, percent, parts), "links")
+    # sets under one id
+    both = named.groupBy("doc").agg(F.min("set_key").alias("one"), F.max("set_key").alias("two")).where("one <> two").select("doc")
+    several = work.save(named.join(checked_broadcast(work.save(both, "both")), "doc").select("doc", "set_key").join(nodes.select("set_key", "node"), "set_key"), "several")
+    same = several.join(several.groupBy("doc").agg(F.min("node").alias("u")), "doc").select("u", F.col("node").alias("v"))
+    links = links.unionByName(same)
+    joined = components(links, work, "links_cc")
+
+    if large.count():
+        rest = _outside(groups.join(checked_broadcast(large), "grp"), _named(nodes.select("node", "n"), _whole(joined)), work)
+        if rest is not None:
+            more = work.save(_with_sets(texts, nodes, work.save(rest, "rest"), size, percent, parts), "more")
+            joined = components(links.unionByName(more), work, "more_cc")
+
+    least = _whole(joined).join(nodes.select("node", "doc", "set_key"), "node")
+    least = least.join(least.groupBy("component").agg(F.min("doc").alias("least")), "component").select("set_key", "least")
+    facts = nodes.select("set_key", "doc").join(least, "set_key", "left").select("set_key", F.coalesce("least", "doc").alias("component_id"))
+    whole = found.join(work.save(facts, "facts"), "set_key", "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
+    return whole.select(
+        F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"),
+        F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"),
+    )
+
+
+def _whole(joined: DataFrame) -> DataFrame:
+    """``node, component`` with the smallest nodes, too, which ``components`` leaves out."""
+    return joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
+
 
-    sets = chosen.select("node", "text", "grp", "blocks").mapInArrow(deal, dealt)
-    return sets.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(verify, "u long, v long")
+def _outside(members: DataFrame, named: DataFrame, work: Work) -> DataFrame | None:
+    """Where the members of large groups meet those outside of their group's largest component; None if there are none."""
+    of = work.save(members.join(named, "node"), "members")
+    counts = of.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = counts.groupBy("grp").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
+    outside = of.join(checked_broadcast(largest), "grp").where("component <> most")
+    queries = work.save(outside.groupBy("grp").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("asks")), "queries")
+    if not queries.count():
+        return None
+    seat = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("node")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = outside.join(checked_broadcast(queries), "grp").select("node", "grp", seat("asks", 1).alias("q"), every("blocks").alias("b"), F.lit(True).alias("asked"))
+    asked = of.join(checked_broadcast(queries), "grp").select("node", "grp", every("asks").alias("q"), seat("blocks", 2).alias("b"), F.lit(False).alias("asked"))
+    place = F.struct(F.shiftrightunsigned(F.xxhash64("grp", "q", "b"), 1).alias("part"), "asked")
+    return asking.unionByName(asked).groupBy("node").agg(F.collect_list(place).alias("at"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; rows without an id are kept."""
+    """``docs`` with one document of each group of near duplicates; rows without an id are kept, and so are repeated rows."""
     work = Work(docs.sparkSession, "minhash")
     judged = near_duplicates(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull() & ~F.col("kept"))
     gone = work.save(judged.select(F.col(id_col).alias("_gone")).distinct(), "gone")

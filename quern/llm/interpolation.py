@@ -1,7 +1,9 @@
-"""Language-model scores by deleted interpolation of bigrams, unigrams and a uniform floor.
+"""Language-model scores by deleted interpolation of trigrams, bigrams, unigrams and a uniform floor.
 
-Maximum-likelihood estimates are mixed with weights that depend on how often the context was seen (one bucket
-per power of two), learned by expectation-maximisation on counts of held-out training documents.
+Maximum-likelihood estimates are mixed with weights that depend on how often the context was seen (a bucket per power
+of two: of the two words before, or of the one word before where those two were not seen), learned by
+expectation-maximisation on counts of held-out training documents.  For that, held-out tokens are gathered in cells of
+like estimates (steps of a quarter power of two), each with its mean estimates; scores use no cells.
 
 Counting and look-up move arrays, not rows: documents are gathered into blocks of tokens; a block sends each of
 its distinct n-grams once to the hash range it falls in, where the blocks' counts are summed, and gets the sums
@@ -22,15 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import Work, release_memory, shuffle_partitions
+from quern.llm.common import Work, release_memory, seat, shuffle_partitions
 
 #: Tokens of a block, about; a longer document is a block of its own.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 #: One training document in so many is held out to learn the mixture weights.
 DEV_PART = 20
 BUCKETS = 24
-#: Steps per power of two of the probability ratios whose histogram the weights are learned from.
+#: Cells per power of two of the probability ratios whose means the weights are learned from.
 GRID = 4
+#: Hash ranges per task; blocks per task at least, so that a range is bounded however much there is.
+RANGES, TASK_BLOCKS = 6, 64
 #: No word holds a blank, so these hashes are free for the end of a text and for what stands before its start.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n", b"\t"))
 
@@ -40,8 +44,8 @@ ROW = T.StructType([
     T.StructField("b", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("v", T.LongType()),
 ])
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-#: Values of ``what``: blocks of held-out training documents and of others, then sums of words and word pairs.
-DEV, PLAIN, WORDS, PAIRS = range(4)
+#: Values of ``what``: blocks of held-out training documents and of others, then sums of words, word pairs and triples.
+DEV, PLAIN, WORDS, PAIRS, TRIPLES = range(5)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -66,6 +70,23 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as compressed planes of their differences."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked_keys(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.cumsum(np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    mixed = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ b) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of the lower-cased words, then the end."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -126,53 +147,63 @@ class _Block:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.role = np.repeat(self.roles, self.sizes)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of word pairs, and each token's place among them."""
+    def shifted(self, values: np.ndarray, first) -> np.ndarray:
+        """The value of the token before each; ``first`` for a text's first token."""
+        before = np.empty_like(values)
+        before[1:] = values[:-1]
+        before[self.starts] = first
+        return before
+
+    def grams(self, what: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of words, pairs or triples, and each token's place among them."""
+        if what == WORDS:
+            return self.vocabulary, self.at
         h = self.vocabulary[self.at]
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[self.starts] = START
-        mixed = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ h) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(mixed ^ (mixed >> np.uint64(29)), return_inverse=True)
+        before = self.shifted(h, START)
+        if what == TRIPLES:
+            before = _mixed(self.shifted(before, START), before)
+        return np.unique(_mixed(before, h), return_inverse=True)
 
 
-def _sums(blocks: DataFrame, what: int, parts: int) -> DataFrame:
+def _sums(blocks: DataFrame, what: int, tasks: int) -> DataFrame:
     """For every block, part by part, the training counts of its distinct n-grams over all blocks.
 
-    ``a`` and ``b`` are counts in training documents not held out for the weights, and in those held out.  Each
-    part adds a row with block -1 (tokens and distinct n-grams of the former) and one with block -2 (tokens of
+    ``a`` and ``b`` are counts in training documents not held out for the weights, and in those held out; ``n`` is 1
+    for blocks of the latter.  Each part adds a row with block -1 (tokens and distinct n-grams of the former) and one with block -2 (tokens of
     the latter, distinct n-grams of both).
     """
 
+    parts = RANGES * tasks  # several small ranges to a task: even loads, and only one range in memory
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block, out = _Block(row), []
-            keys, at = (block.vocabulary, block.at) if what == WORDS else block.pairs()
+            keys, at = block.grams(what)
             counts = np.bincount(at[block.role > 0], minlength=len(keys)).astype("<i4")
             part = (keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)
             cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 cut = slice(cuts[p], cuts[p + 1])
-                out.append((row[0], row[1], p, None, None, keys[cut].tobytes(), counts[cut].tobytes(), None, None))
+                out.append((row[0], row[1], p, None, None, _packed_keys(keys[cut]), _packed(counts[cut]), None, None))
             yield _batch(out)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def totals(rows):
-            keys = np.concatenate([np.frombuffer(r[5], np.uint64) for r in rows])
-            counts = np.concatenate([np.frombuffer(r[6], "<i4") for r in rows]).astype(np.int64)
-            dev = np.repeat([r[1] == DEV for r in rows], [len(r[5]) // 8 for r in rows])
-            distinct, at = np.unique(keys, return_inverse=True)
+            sent = [_unpacked_keys(r[5]) for r in rows]
+            sizes = [len(k) for k in sent]
+            counts = np.concatenate([_unpacked(r[6]) for r in rows])
+            dev = np.repeat([r[1] == DEV for r in rows], sizes)
+            distinct, at = np.unique(np.concatenate(sent), return_inverse=True)
             both = [np.bincount(at, np.where(dev == d, counts, 0), len(distinct)).astype(np.int64) for d in (False, True)]
             yield _batch([
                 (-1, what, rows[0][2], None, None, None, None, int(both[0].sum()), int((both[0] > 0).sum())),
                 (-2, what, rows[0][2], None, None, None, None, int(both[1].sum()), int((both[0] + both[1] > 0).sum())),
             ])
             cut = 0
-            for r in rows:
-                mine = at[cut : cut + len(r[5]) // 8]
-                cut += len(mine)
-                yield _batch([(r[0], what, r[2], None, None, _packed(both[0][mine]), _packed(both[1][mine]), None, None)])
+            for r, size in zip(rows, sizes, strict=True):
+                mine = at[cut : cut + size]
+                cut += size
+                yield _batch([(r[0], what, r[2], None, None, _packed(both[0][mine]), _packed(both[1][mine]), int(r[1] == DEV), None)])
 
         rows: list[tuple] = []
         for row in _rows(batches):
@@ -185,18 +216,21 @@ def _sums(blocks: DataFrame, what: int, parts: int) -> DataFrame:
             yield from totals(rows)
 
     sent = blocks.mapInArrow(send, ROW)
-    return sent.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(add, ROW)
+    return sent.repartition(tasks, seat(F.floor(F.col("part") / RANGES), tasks)).sortWithinPartitions("part", "block").mapInArrow(add, ROW)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, list[np.ndarray], list[np.ndarray]]]:
-    """Blocks with their word and pair sums, from rows sorted by block, what and part."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Blocks with their sums of words, pairs and triples, from rows sorted by block, what and part.
+
+    Sums are two arrays each: of training documents not held out for the weights, and of those held out.
+    """
 
     def whole(rows):
-        found = {w: [[], []] for w in (WORDS, PAIRS)}
+        found = {w: [[], []] for w in (WORDS, PAIRS, TRIPLES)}
         for r in rows[1:]:
             for k in (0, 1):
                 found[r[1]][k].append(_unpacked(r[5 + k]))
-        return _Block(rows[0]), *([np.concatenate(x) for x in found[w]] for w in (WORDS, PAIRS))
+        return _Block(rows[0]), *([np.concatenate(x) for x in found[w]] for w in found)
 
     rows: list[tuple] = []
     for row in _rows(batches):
@@ -209,40 +243,43 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, list[np.nd
         yield whole(rows)
 
 
-def _estimates(block: _Block, words: np.ndarray, pairs: np.ndarray, starts: int, n: int):
-    """Per token: word count, context bucket, bigram and unigram maximum-likelihood estimates."""
+def _estimates(block: _Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: int, n: int):
+    """Per token: word count, context bucket, and trigram, bigram and unigram maximum-likelihood estimates."""
     word = words[block.at]
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[block.starts] = starts
-    pair = pairs[block.pairs()[1]]
-    bucket = np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1)
-    return word, bucket, pair / np.maximum(context, 1), word / max(n, 1)
+    one = block.shifted(word, starts)
+    pair = pairs[block.grams(PAIRS)[1]]
+    two = block.shifted(pair, starts)
+    triple = triples[block.grams(TRIPLES)[1]]
+    of = lambda context: np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1)
+    bucket = np.where(two > 0, BUCKETS + of(two), of(one))
+    return word, bucket, triple / np.maximum(two, 1), pair / np.maximum(one, 1), word / max(n, 1)
 
 
-def learn_weights(histogram: list[tuple[int, int, int, int]], rounds: int = 200) -> np.ndarray:
-    """(BUCKETS, 3) weights of bigram, unigram and floor by expectation-maximisation.
+def learn_weights(cells: list[tuple], rounds: int = 200) -> np.ndarray:
+    """(2 * BUCKETS, 4) weights of trigram, bigram, unigram and floor by expectation-maximisation.
 
-    ``histogram`` has (bucket, bigram step, unigram step, tokens); a step is GRID times the base-2 logarithm of
-    the estimate over the floor, or -1000 for an estimate of 0.  Half a token per class keeps all weights above
-    0; a bucket without tokens takes the weights of all of them together; an unseen context has no bigrams.
+    ``cells`` have (bucket, tokens, and their summed ratios of the three estimates to the floor).  Half a token per
+    class keeps all weights above 0; a bucket without tokens takes the weights of all of them together; a context that
+    was not seen has no weight.
     """
-    rows = np.array(histogram, np.float64).reshape(-1, 4)
+    rows = np.array(cells, np.float64).reshape(-1, 5)
 
-    def learn(part: np.ndarray) -> np.ndarray:
-        ratio = np.where(part[:, 1:3] <= -1000, 0.0, np.exp2(part[:, 1:3] / GRID))
-        ratio = np.column_stack([ratio, np.ones(len(part))])
-        weight = np.full(3, 1 / 3)
+    def learn(part: np.ndarray, first: int) -> np.ndarray:
+        ratio = np.column_stack([part[:, 2:] / part[:, 1:2], np.ones(len(part))])
+        ratio[:, :first] = 0
+        weight = np.where(np.arange(4) < first, 0, 1 / (4 - first))
         for _ in range(rounds):
             share = ratio * weight
-            share *= (part[:, 3] / share.sum(axis=1))[:, None]
-            weight = (share.sum(axis=0) + 0.5) / (part[:, 3].sum() + 1.5)
+            share *= (part[:, 1] / share.sum(axis=1))[:, None]
+            weight = np.where(np.arange(4) < first, 0, (share.sum(axis=0) + 0.5) / (part[:, 1].sum() + 0.5 * (4 - first)))
         return weight
 
-    everything = learn(rows)
-    weights = np.array([learn(rows[rows[:, 0] == b]) if (rows[:, 0] == b).any() else everything for b in range(BUCKETS)])
-    weights[0] = [0, *(weights[0, 1:] / weights[0, 1:].sum())]
-    return weights
+    weights = []
+    for b in range(2 * BUCKETS):
+        first = 0 if b >= BUCKETS else 1 if b else 2
+        mine = rows[rows[:, 0] == b]
+        weights.append(learn(mine if len(mine) else rows, first))
+    return np.array(weights)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,15 +287,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents whose id's CRC-32 is divisible by 10 are scored but not learned from.  Lower-casing is of A-Z;
     tokens are words, then one end.  A null text is empty (its one token is the end); a null id counts as the
-    empty text; every row is scored.  Without training tokens every count is 0 and the floor scores alone.
+    empty text; every row is scored, repeated rows as well; ids are integers.  Other columns are not read.  Without
+    training tokens every count is 0 and the floor scores alone.
     """
     work = Work(docs.sparkSession, "lm")
-    parts = max(1, shuffle_partitions(docs))
     given = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     blocks = work.save(_blocks(given), "blocks")
-    words = work.save(_sums(blocks, WORDS, parts), "words", "zstd")
-    pairs = work.save(_sums(blocks, PAIRS, parts), "pairs", "zstd")
-    facts = {r["block"]: r for r in words.where("block < 0").groupBy("block").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    tasks = max(1, shuffle_partitions(docs), blocks.count() // TASK_BLOCKS)
+    tables = [work.save(_sums(blocks, what, tasks), name, "zstd") for what, name in ((WORDS, "words"), (PAIRS, "pairs"), (TRIPLES, "triples"))]
+    facts = {r["block"]: r for r in tables[0].where("block < 0").groupBy("block").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     n_kept, v_kept = (facts[-1]["n"], facts[-1]["v"]) if facts else (0, 0)
     n_all, v_all = (n_kept + facts[-2]["n"], facts[-2]["v"]) if facts else (0, 0)
     # every training document is one context before its first token
@@ -266,23 +303,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = blocks.select("block", "what", "part", "docs", "sizes").mapInArrow(_first_contexts, "what int, n long").groupBy("what").agg(F.sum("n").alias("n")).collect()
     for r in counted:
         firsts[r["what"] == DEV] += r["n"]
-    sums = words.where("block >= 0").unionByName(pairs.where("block >= 0"))
+    sums = tables[0].unionByName(tables[1]).unionByName(tables[2]).where("block >= 0")
 
     def meet(chosen: DataFrame, sums: DataFrame) -> DataFrame:
-        return chosen.unionByName(sums).repartition(parts, "block").sortWithinPartitions("block", "what", "part")
+        return chosen.unionByName(sums).repartition(tasks, "block").sortWithinPartitions("block", "what", "part")
 
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, (word, _), (pair, _) in _met(batches):
-            _, bucket, p2, p1 = _estimates(block, word, pair, firsts[False], n_kept)
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, (word, _), (pair, _), (triple, _) in _met(batches):
+            _, bucket, *estimates = _estimates(block, word, pair, triple, firsts[False], n_kept)
+            ratios = [p * (v_kept + 1) for p in estimates]
             with np.errstate(divide="ignore"):
-                steps = [np.where(p > 0, np.rint(GRID * np.log2(p * (v_kept + 1))), -1000).astype(np.int64) for p in (p2, p1)]
-            found, times = np.unique(np.column_stack([bucket, *steps]), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, found.T), pa.array(times)], names=["bucket", "two", "one", "n"])
+                steps = [np.where(r > 0, np.rint(GRID * np.log2(r)), -1000).astype(np.int64) for r in ratios]
+            found, at = np.unique(np.column_stack([bucket, *steps]), axis=0, return_inverse=True)
+            sums = [np.bincount(at.ravel(), r, len(found)) for r in (None, *ratios)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found.T), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])], names=list("bcdenxyz"))
 
-    dev = blocks.where(F.col("what") == DEV)
-    of_dev = sums.join(F.broadcast(dev.select("block")) if dev.count() <= 10_000 else dev.select("block"), "block", "left_semi")
-    steps = meet(dev, of_dev).mapInArrow(histogram, "bucket long, two long, one long, n long")
-    weights = learn_weights([tuple(r) for r in steps.groupBy("bucket", "two", "one").agg(F.sum("n")).collect()])
+    gathered = meet(blocks.where(F.col("what") == DEV), sums.where("n = 1")).mapInArrow(cells, "b long, c long, d long, e long, n long, x double, y double, z double")
+    # at most so many cells as the grid has, whatever the documents
+    gathered = gathered.groupBy("b", "c", "d", "e").agg(*[F.sum(c).alias(c) for c in "nxyz"]).select("b", *"nxyz")
+    weights = learn_weights([tuple(r) for r in gathered.collect()])
 
     schema = T.StructType([
         T.StructField(id_col, T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
@@ -291,10 +330,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, word, pair in _met(batches):
-            count, bucket, p2, p1 = _estimates(block, word[0] + word[1], pair[0] + pair[1], firsts[False] + firsts[True], n_all)
-            of = weights[bucket]
-            mixed = np.log10(of[:, 0] * p2 + of[:, 1] * p1 + of[:, 2] / (v_all + 1))
+        for block, *sums in _met(batches):
+            count, bucket, *estimates = _estimates(block, *(x + y for x, y in sums), firsts[False] + firsts[True], n_all)
+            mixed = np.log10(sum((weights[bucket, k] * p for k, p in enumerate(estimates)), weights[bucket, 3] / (v_all + 1)))
             base = np.log10((count + 0.1) / (n_all + 0.1 * (v_all + 1)))
             yield pa.RecordBatch.from_arrays(
                 [

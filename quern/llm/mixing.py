@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import checked_broadcast, word_count
+from quern.llm.common import Work, checked_broadcast, word_count
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
@@ -52,28 +52,50 @@ def copies(rate: Column, key: Column, seed: str) -> Column:
     return (whole + (chance < rate - whole).cast("long")).cast("long")
 
 
+def _rates(targets: DataFrame) -> DataFrame:
+    """``q_source, q_size, q_target, q_rate`` per source; a source without words has rate 0."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return targets.select(
+        F.col("source").alias("q_source"), F.col("source_size").alias("q_size"), F.col("target").alias("q_target"), rate.alias("q_rate")
+    )
+
+
 def plan_mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix",
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _copies``.
+    """Per row of ``docs``, ``id_col`` and ``_size, _source_size, _target, _copies``.
 
-    A null text has size 0; null is a source of its own, the last; rows with the same id get the same
-    decision; a source without words has target 0.  An empty table stays empty.
+    A null text has size 0; null is a source of its own, the last; rows with the same id get the same decision, also
+    null ids, which count as the empty text; a source without words has target 0.  An empty table stays empty.  Other
+    columns are not read and may have any name.
+
+    The words taken of a source come near its target, not on it: whether the fraction of the rate r gives a document
+    of n words one copy more is a coin, so the sum spreads by the root of the sum of n * n * f * (1 - f), f = r - floor(r).
+    That is below 0.5 * sqrt(source size * longest text) and vanishes against the target as sources grow.
     """
-    targets = source_targets(
-        docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), weights, share, cap
-    ).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    joined = docs.withColumn("_size", word_count(F.col(text_col))).join(
-        checked_broadcast(targets), docs[source_col].eqNullSafe(F.col("_source")), "left"
+    work = Work(docs.sparkSession, "mix")
+    # the texts are read once; ids, sources and sizes are narrow
+    sized = work.save(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), word_count(docs[text_col]).alias("size")), "sizes")
+    rates = _rates(source_targets(sized, weights, share, cap))
+    joined = sized.join(checked_broadcast(rates), sized["source"].eqNullSafe(F.col("q_source")), "left")
+    return joined.select(
+        F.col("id").alias(id_col), F.col("size").alias("_size"), F.col("q_size").alias("_source_size"), F.col("q_target").alias("_target"),
+        copies(F.col("q_rate"), F.col("id"), seed).alias("_copies"),
     )
-    return joined.withColumn("_copies", copies(rate, F.col(id_col), seed)).drop("_source")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as planned, with the columns of ``docs``, whatever their names."""
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    planned = plan_mix(docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), docs[text_col].alias("text"), row), **options)
-    again = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_again")
-    return planned.where("_copies > 0").select("_row", again).select("_row.*")
+def mix_documents(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix",
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``plan_mix`` plans it, with the columns of ``docs``, whatever their names.
+
+    Sizes are summed in one pass; copies need a row's id and its source's rate alone, so the second pass emits rows.
+    """
+    sized = docs.select(docs[source_col].alias("source"), word_count(docs[text_col]).alias("size"))
+    rates = Work(docs.sparkSession, "mix").save(_rates(source_targets(sized, weights, share, cap)), "rates")
+    given = docs.select(docs[id_col].alias("q_id"), docs[source_col].alias("q_of"), F.struct(*[docs[c] for c in docs.columns]).alias("q_row"))
+    joined = given.join(checked_broadcast(rates), F.col("q_of").eqNullSafe(F.col("q_source")), "left")
+    again = F.explode(F.array_repeat(F.lit(0), copies(F.col("q_rate"), F.col("q_id"), seed).cast("int"))).alias("q_again")
+    return joined.select("q_row", again).select("q_row.*")

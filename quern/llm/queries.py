@@ -44,7 +44,7 @@ def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    planned = mixing.plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return planned.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"),

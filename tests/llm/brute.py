@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
-from math import isfinite, log10, sqrt
+from math import isfinite, log2, log10, sqrt
 from zlib import crc32
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,3 +143,52 @@ def base_scores(docs):
         i: (held[i], len(w), sum(c[x] > 0 for x in w), n, sum(log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
         for i, w in tokens.items()
     }
+
+
+def interpolated_scores(docs, role, buckets=24, rounds=200):
+    """{doc_id: score} of trigrams, bigrams, unigrams and a floor, one token at a time.
+
+    ``role`` of a doc_id: 0 held out, 1 training, 2 training and held out for the weights.
+    """
+    tokens = {i: [*words(lower(t or "")), "\n"] for i, t in docs}
+    roles = {i: role(str(i)) for i in tokens}
+
+    def counts(which):
+        grams = Counter()
+        for i, w in tokens.items():
+            if roles[i] in which:
+                padded = ["\t", "\t", *w]
+                grams["\t", "\t"] += 1
+                grams["\t",] += 1
+                for k in range(2, len(padded)):
+                    for n in (1, 2, 3):
+                        grams[tuple(padded[k - n + 1 : k + 1])] += 1
+        n = sum(len(w) for i, w in tokens.items() if roles[i] in which)
+        return grams, n, len({x for i, w in tokens.items() if roles[i] in which for x in w})
+
+    def estimates(w, grams, n, v):
+        padded = ["\t", "\t", *w]
+        for k in range(2, len(padded)):
+            a, b, c = padded[k - 2 : k + 1]
+            two, one = grams[a, b], grams[b,]
+            of = lambda x: min(int(log2(x + 1)), buckets - 1)
+            bucket = buckets + of(two) if two else of(one)
+            yield bucket, (grams[a, b, c] / max(two, 1), grams[b, c] / max(one, 1), grams[c,] / max(n, 1), 1 / (v + 1))
+
+    kept = counts({1})
+    held = [x for i, w in tokens.items() if roles[i] == 2 for x in estimates(w, *kept)]
+    weights = {}
+    for b in range(2 * buckets):
+        first = 0 if b >= buckets else 1 if b else 2
+        mine = [p for at, p in held if at == b] or [p for _, p in held]
+        weight = [0.0] * first + [1 / (4 - first)] * (4 - first)
+        for _ in range(rounds):
+            total = [0.0] * 4
+            for p in mine:
+                parts = [x * y for x, y in zip(weight, p, strict=True)]
+                for k in range(4):
+                    total[k] += parts[k] / sum(parts)
+            weight = [(total[k] + 0.5) / (len(mine) + 0.5 * (4 - first)) if k >= first else 0.0 for k in range(4)]
+        weights[b] = weight
+    whole = counts({1, 2})
+    return {i: sum(log10(sum(x * y for x, y in zip(weights[b], p, strict=True))) for b, p in estimates(w, *whole)) for i, w in tokens.items()}

@@ -147,6 +147,51 @@ def test_minhash(docs, pairs, empty, size, percent, monkeypatch):
         assert {r["doc_id"] for r in kept.collect()} == {None, *(i for i, (_, c) in expected.items() if i == c)}
 
 
+def near_copies(n, words, changes, seed=1):
+    """Copies of one text, each with its own few changes, so that most pairs are linked and some are not."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        mine = base[:]
+        for k in r.sample(range(words), changes):
+            mine[k] = f"x{i}-{k}"
+        out.append(" ".join(mine))
+    return out
+
+
+def test_links_are_exact_though_copies_are_not_all_compared(monkeypatch):
+    r = random.Random(3)
+    for trial in range(6):
+        texts = near_copies(40, 120, trial + 1, trial) + near_copies(25, 90, 4, 90 + trial) + [" ".join(r.choices("abcdefg", k=60)) for _ in range(10)]
+        pairs = [(i * 3, t) for i, t in enumerate(texts)]
+        sets = [circulant_minhash.shingle_set(t, 3) for t in texts]
+        links = circulant_minhash.linked(np.arange(len(texts)) * 3, sets, 85)
+        expected = brute.near_duplicates(pairs)
+        assert brute.roots([i for i, _ in pairs], links) == {i: c for i, (_, c) in expected.items()}
+    asked = []
+    monkeypatch.setattr(circulant_minhash._Index, "similar", lambda self, one, percent, old=circulant_minhash._Index.similar: asked.append(1) or old(self, one, percent))
+    copies = near_copies(400, 200, 2)
+    assert len(circulant_minhash.linked(np.arange(400), [circulant_minhash.shingle_set(t, 3) for t in copies], 85)) == 399
+    assert len(asked) < 20  # not 400
+
+
+def test_minhash_of_a_group_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(circulant_minhash, "BLOCK_DOCS", 10)
+    # 2 changes: copies link with the head; 5: only some do, so members outside of the largest component meet all others
+    pairs = list(enumerate(near_copies(60, 150, 2) + near_copies(60, 150, 4, 5) + near_copies(40, 150, 5, 7)))
+    expected = brute.near_duplicates(pairs)
+    got = by_id(circulant_minhash.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string"), 3, 85))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == expected
+
+
+def test_minhash_of_rows_that_share_an_id(spark):
+    one, two, other = near_copies(2, 80, 1) + near_copies(1, 80, 0, 9)
+    rows = [(5, one), (7, two), (7, other), (9, other), (9, other), (11, "unlike all the rest of them"), (None, one)]
+    got = circulant_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter({(5, 5, True): 1, (7, 5, False): 2, (9, 5, False): 2, (11, 11, True): 1, (None, None, False): 1})
+
+
 def test_circulant_signatures_estimate_jaccard():
     r = np.random.default_rng(0)
     both, a, b = (r.integers(0, 2**64, n, dtype=np.uint64) for n in (600, 200, 200))
@@ -248,10 +293,9 @@ def water_level(sizes, share=1.5, cap=2.0, weights=(5, 2, 1)):
 
 def test_mixing(docs, pairs, empty):
     rows = by_id(mixing.plan_mix(docs))
-    sizes = Counter()
-    for r in rows.values():
-        assert r["_size"] == len(brute.words(r["text"] if r["text"] else ""))  # noqa: RUF034
-        sizes[r["source"]] += r["_size"] or 0
+    texts = dict(pairs)
+    for i, r in rows.items():
+        assert r["_size"] == len(brute.words(texts[i]))
     facts = {r["doc_id"]: r["source"] for r in docs.collect()}
     sizes = Counter()
     for i, t in pairs:
@@ -263,6 +307,10 @@ def test_mixing(docs, pairs, empty):
         assert r["_target"] == pytest.approx(target[facts[i]])
         assert r["_copies"] in (int(rate), int(rate) + (rate > int(rate)))
         assert r["_copies"] * n <= 2 * n
+    # clashing names: inputs are not read, and the mix gives them back as they are
+    odd = docs.withColumns({c: F.lit(7) for c in ("_source", "_target", "_copies", "_source_size", "q_source", "q_rate", "q_row", "id")})
+    assert by_id(mixing.plan_mix(odd)) == rows
+    assert mixing.mix_documents(odd).columns == odd.columns and mixing.mix_documents(odd).agg(F.min("_copies"), F.max("q_rate")).first() == (7, 7)
     again = by_id(mixing.plan_mix(docs.repartition(7)))
     assert all(again[i]["_copies"] == r["_copies"] for i, r in rows.items())
     mixed = mixing.mix_documents(docs)
@@ -301,10 +349,26 @@ def test_scores(docs, pairs, empty, monkeypatch):
     assert alone and all(r["train_tokens"] == 0 and r["score"] <= 0 for r in alone)
 
 
+@pytest.mark.parametrize(("grid", "close"), [(64, 1e-4), (4, 0.01)])
+def test_scores_are_those_of_plain_interpolation(spark, monkeypatch, grid, close):
+    r = random.Random(8)
+    text = lambda: " ".join(r.choices(["the", "of", "House", "house", "river", "stone", "a", "in", "winter", "letter"], [9, 6, 1, 2, 2, 1, 5, 4, 1, 1], k=r.randint(0, 40)))
+    pairs = [(i, text()) for i in range(90)]
+    pairs += [(200 + i, pairs[i][1]) for i in range(5)] + [(300, None), (301, "unseen words only here")]
+    monkeypatch.setattr(interpolation, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(interpolation, "GRID", grid)
+    expected = brute.interpolated_scores(pairs, interpolation.role)
+    got = by_id(interpolation.score_documents(spark.createDataFrame(pairs, "doc_id long, text string")))
+    assert {i: r["score"] for i, r in got.items()} == {i: pytest.approx(x, rel=close) for i, x in expected.items()}
+
+
 def test_weights_fit_held_out_counts():
-    w = interpolation.learn_weights([(3, 40, 8, 900), (3, -1000, 8, 80), (3, -1000, -1000, 20), (0, -1000, 4, 50)])
-    assert np.allclose(w.sum(axis=1), 1) and (w[1:] > 0).all() and w[0, 0] == 0
-    assert w[3, 0] > 0.8 and 0.005 < w[3, 2] < 0.1
+    cell = lambda b, n, *ratios: (b, n, *(n * x for x in ratios))
+    w = interpolation.learn_weights([
+        cell(27, 900, 5000, 1000, 4), cell(27, 80, 0, 1000, 4), cell(27, 20, 0, 0, 0), cell(3, 900, 0, 1000, 4), cell(3, 80, 0, 0, 4), cell(3, 20, 0, 0, 0), cell(0, 50, 0, 0, 2),
+    ])
+    assert np.allclose(w.sum(axis=1), 1) and (w[24:] > 0).all() and (w[:24, 0] == 0).all() and (w[0] > 0).tolist() == [False, False, True, True]
+    assert w[27, 0] > 0.7 and w[3, 1] > 0.8 and 0.005 < w[3, 3] < 0.1
 
 
 # 7
