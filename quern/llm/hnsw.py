@@ -167,6 +167,14 @@ def audited_beam(
     return len(graph.x)
 
 
+def _found(nodes: list, counts: list, u: list, v: list, audit: tuple | None = None) -> pa.RecordBatch:
+    """Links counted at nodes, then spanning edges, then a task's audit."""
+    a, b, c = len(nodes), len(u), int(audit is not None)
+    columns = [nodes + [None] * (b + c), counts + [None] * (b + c), [None] * a + u + [None] * c, [None] * a + v + [None] * c]
+    columns += [[None] * (a + b) + ([x] if c else []) for x in (audit or (0,) * 4)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["node", "links", "u", "v", "asked", "whole", "beam", "size"])
+
+
 def _answers(least: float, beam: int, audits: int, target: float):
     """mapInArrow function over rows sorted by task, index rows (role 0) before queries (role 1), each in hash order."""
 
@@ -196,10 +204,15 @@ def _answers(least: float, beam: int, audits: int, target: float):
                 held.append(batch)
                 drawn += len(batch[0])
                 linked += [(v, o) for v, o, t in zip(*batch[1:], scan(x, *batch[1:2], least, batch[2]), strict=True) if len(t)]
-            linked, graph, width = linked[:audits], None, len(x)
+            linked, graph, width, whole = linked[:audits], None, len(x), len(linked[:audits])
             if len(linked) >= audits // 4:
-                graph = Graph(x)
-                width = audited_beam(graph, np.array([v for v, _ in linked]), least, beam, target, np.array([o for _, o in linked]))
+                graph, asked, own_of = Graph(x), np.array([v for v, _ in linked]), np.array([o for _, o in linked])
+                width = audited_beam(graph, asked, least, beam, target, own_of)
+                if width < len(x):
+                    whole = sum(
+                        int((graph.within(q, least, width) != o).sum()) == len(t) for q, o, t in zip(asked, own_of.tolist(), scan(x, asked, least, own_of), strict=True)
+                    )
+            yield _found([], [], [], [], (len(linked), whole, width, len(x)))
 
             for q_ids, q, own in chain(held, batches):
                 nodes, counts, u, v = [], [], [], []
@@ -216,13 +229,7 @@ def _answers(least: float, beam: int, audits: int, target: float):
                             at[b] = a
                             u.append(int(ids[b]))
                             v.append(int(ids[a]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(nodes + [None] * len(u), pa.int64()), pa.array(counts + [None] * len(u), pa.int64()),
-                        pa.array([None] * len(nodes) + u, pa.int64()), pa.array([None] * len(nodes) + v, pa.int64()),
-                    ],
-                    names=["node", "links", "u", "v"],
-                )
+                yield _found(nodes, counts, u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -260,12 +267,18 @@ def _answers(least: float, beam: int, audits: int, target: float):
 def near_vectors(
     vectors: DataFrame, least: float = 0.93, shard_rows: int = 8192, chunk_rows: int = 65_536, beam: int = 48,
     audits: int = 256, target: float = 0.995, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
+    audits_to: str | None = None,
 ) -> DataFrame:
     """Per vector ``id, n_links, component_id, kept``; ids are integers.
 
     Vectors are linked if their labels are equal and not null and their cosine is at least ``least``.  A vector
     that is null, zero, or holds null or non-finite components links with nothing, nor do vectors of different
-    length.  Equal vectors are one node that counts as often as it occurs.  Rows with a null id have no links.
+    length.  Equal vectors are one node that counts as often as it occurs.  Rows that share an id but not the vector
+    are nodes of their own, each with its links; a component is named by the smallest id in it.  Rows with a null id
+    have no links.  Other columns are not read and may have any name.
+
+    ``audits_to``: a folder for the audits, a row per task: sampled queries that have links, those that found all of
+    theirs by the beam chosen, the beam, and the shard's size (a beam as large is a scan, which finds all).
     """
     work = Work(vectors.sparkSession, "hnsw")
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.col(label_col).alias("label"))
@@ -273,28 +286,35 @@ def near_vectors(
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda a: a != 0)
     named = given.withColumn("h1", F.when(usable, F.xxhash64("label", "x"))).withColumn("h2", F.when(usable, F.xxhash64(F.lit(1), "label", "x")))
     nodes = named.where("h1 is not null").groupBy("h1", "h2").agg(
-        F.min("id").alias("node"), F.count(F.lit(1)).alias("times"), F.first("x").alias("x"), F.first("label").alias("label")
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), F.first("x").alias("x"), F.first("label").alias("label")
     )
-    nodes = work.save(nodes.withColumn("dim", F.size("x")), "nodes")
+    nodes = nodes.withColumn("dim", F.size("x")).withColumn("node", F.monotonically_increasing_id())
+    nodes = work.save(nodes, "nodes")
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select(
         "label", "dim", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks")
     )
     dealt = nodes.join(checked_broadcast(sizes), ["label", "dim"])
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn(
-        "chunk", F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.col("chunks")).cast("int")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("shards")).cast("int")).withColumn(
+        "chunk", F.pmod(F.xxhash64(F.lit(7), "h1", "h2"), F.col("chunks")).cast("int")
     )
     task = lambda shard, chunk: F.xxhash64("label", "dim", shard, chunk)
     rows = ["node", "times", "x"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = dealt.select("*", every("chunks").alias("c")).select(task("own", "c").alias("task"), F.lit(0).alias("role"), *rows)
-    asked = dealt.select("*", every("shards").alias("s")).select(task("s", "chunk").alias("task"), F.lit(1).alias("role"), *rows)
-    both = index.unionByName(asked).repartition(4 * shuffle_partitions(vectors), "task").sortWithinPartitions("task", "role", F.xxhash64(F.lit(11), F.col("node")), "node")
-    found = work.save(both.mapInArrow(_answers(least, beam, audits, target), "node long, links long, u long, v long"), "found")
+    index = dealt.select("*", every("chunks").alias("c")).select(task("own", "c").alias("task"), F.lit(0).alias("role"), *rows, "h1", "h2")
+    asked = dealt.select("*", every("shards").alias("s")).select(task("s", "chunk").alias("task"), F.lit(1).alias("role"), *rows, "h1", "h2")
+    both = index.unionByName(asked).repartition(4 * shuffle_partitions(vectors), "task").sortWithinPartitions("task", "role", F.xxhash64(F.lit(11), "h1", "h2"), "h1", "h2")
+    both = both.select("task", "role", *rows)
+    found = work.save(both.mapInArrow(_answers(least, beam, audits, target), "node long, links long, u long, v long, asked long, whole long, beam long, size long"), "found")
+    if audits_to:
+        found.where("size is not null").select("asked", "whole", "beam", "size").write.mode("overwrite").parquet(audits_to)
     links = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("u is not null").select("u", "v"), work)
+    joined = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct())
+    member = nodes.select("h1", "h2", "node", "times", "id").join(links, "node", "left").join(joined, "node", "left")
+    least = work.save(member.where("component is not null").groupBy("component").agg(F.min("id").alias("least")), "least")
     facts = work.save(
-        nodes.select("h1", "h2", "node", "times").join(links, "node", "left").join(joined, "node", "left").select(
-            "h1", "h2", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")
+        member.join(checked_broadcast(least), "component", "left").select(
+            "h1", "h2", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", member["id"]).alias("component")
         ),
         "facts",
     )

@@ -240,6 +240,29 @@ def test_hnsw(vectors, shard_rows):
     assert hnsw.near_vectors(df.limit(0)).count() == 0
 
 
+def test_hnsw_rows_that_share_an_id(spark):
+    r = np.random.default_rng(2)
+    a, b = r.normal(size=(2, 16))
+    rows = [(1, a, 0), (1, b, 0), (2, a * 1.5, 0), (3, b + 0.01, 0), (3, b + 0.01, 0), (None, a, 0), (4, -a, 0)]
+    rows = [(i, [float(x) for x in v], label, 7) for i, v, label in rows]
+    got = hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int")).collect()
+    assert Counter((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in got) == Counter(
+        {(1, 1, 1, True): 1, (1, 2, 1, True): 1, (2, 1, 1, False): 1, (3, 2, 1, False): 2, (None, 0, None, False): 1, (4, 0, 4, True): 1}
+    )
+
+
+def test_audits_are_reported(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1500, 24))
+    x[500:] = x[r.integers(0, 500, 1000)] + r.normal(size=(1000, 24)) * 0.12
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    at = f"{Work(spark, 'test-audits').path}/audits"
+    hnsw.near_vectors(df, shard_rows=800, beam=16, audits_to=at)
+    rows = spark.read.parquet(at).collect()
+    assert rows and all(r["asked"] >= 64 and r["whole"] >= 0.98 * r["asked"] for r in rows)
+    assert any(r["beam"] < r["size"] for r in rows)
+
+
 def test_graph_recall():
     r = np.random.default_rng(5)
     x = r.normal(size=(1500, 24))
