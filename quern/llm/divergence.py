@@ -83,9 +83,9 @@ def js_distance_sparse(classes: Column, p: Column, q: Column) -> Column:
 
 
 def language_references(features: DataFrame, least_words: int) -> DataFrame:
-    """``_lang, _ref_chars, _ref_common``: mean shares over a language's documents of ``least_words`` words; null is a
-    language.  ``_all_common`` is the mean over all documents."""
-    found = features.where(F.col("_n_words") >= least_words)
+    """``_lang, _ref_chars, _ref_common``: mean shares over a language's documents of ``least_words`` words that pass the
+    base rules; null is a language.  ``_all_common`` is the mean over all such documents."""
+    found = features.where((F.col("_n_words") >= least_words) & ~F.col("_base_failed"))
     shares = found.select("_lang", "_present", _shares(F.col("_chars")).alias("c"), _shares(F.col("_common")).alias("w"))
     n_w, n_c = len(COMMON_WORDS) + 1, len(CLASSES) + 2
     entries = F.concat(
@@ -154,7 +154,8 @@ def judge_quality(
     """Per document ``id, _text_hash, _lang, _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat, _char_distance,
     _word_distance, _base_failed, _kept``.
 
-    A null text has no words.  A document fails the base rules with fewer than ``least_words`` words or more
+    A null text has no words; null is a language, and a null id is judged like any other, as are repeated rows.  Other
+    columns are not read and may have any name.  An empty table stays empty.  A document fails the base rules with fewer than ``least_words`` words or more
     than ``max_repeat_percent`` of its words in repeated windows.  Of the others, one is rejected if its characters
     are ``far_chars`` from its language's (and it has ``guard_chars`` words), or if they are ``near_chars`` from them
     and its common words ``far_words`` from the language's and from those of all languages together, as text of

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
-from math import isfinite, log2, log10, sqrt
+from math import ceil, floor, isfinite, log2, log10, sqrt
 from zlib import crc32
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -192,3 +192,48 @@ def interpolated_scores(docs, role, buckets=24, rounds=200):
         weights[b] = weight
     whole = counts({1, 2})
     return {i: sum(log10(sum(x * y for x, y in zip(weights[b], p, strict=True))) for b, p in estimates(w, *whole)) for i, w in tokens.items()}
+
+
+CLASS_OF = {c: k for k, cs in enumerate([".,;:!?'\"()-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>_=+/\\@~^`{}[]"], 3) for c in cs}
+
+
+def js_distance(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    part = lambda x: sum(a * log2(a / c) for a, c in zip(x, m, strict=True) if a)
+    return sqrt(max((part(p) + part(q)) / 2, 0))
+
+
+def divergence(docs, common):
+    """{doc_id: (char distance, word distance, kept)} of [(doc_id, text, lang)], by the operator's default limits."""
+    found = {}
+    for i, text, lang in docs:
+        w, chars, hits = words(text), [0] * 7, [0] * (len(common) + 1)
+        for c in (c for x in w for c in x):
+            chars[0 if "a" <= c <= "z" else 2 if ord(c) > 127 else CLASS_OF.get(c, 1)] += 1
+        for x in w:
+            known = x.lower() in common and x in (x.lower(), x.lower().capitalize())
+            hits[common.index(x.lower()) + 1 if known else 0] += 1
+        shares = [[x / max(sum(h), 1) for x in h] for h in (chars, hits)]
+        found[i] = (lang, len(w), quality(text)[-1], *shares)
+    mean = lambda rows: [sum(x) / len(rows) for x in zip(*rows, strict=True)]
+    good = [f for f in found.values() if f[1] >= 100 and not f[2]]
+    langs = {f[0] for f in good}
+    of_chars, of_words = ({g: mean([f[k] for f in good if f[0] == g]) for g in langs} for k in (3, 4))
+    of_all = mean([f[4] for f in good]) if good else None
+    far, scaled = {}, defaultdict(list)
+    for i, (lang, n, failed, chars, hits) in found.items():
+        if n >= 50 and lang in langs:
+            far[i] = js_distance(chars, of_chars[lang]), min(js_distance(hits, of_words[lang]), js_distance(hits, of_all))
+            if not failed:
+                scaled[lang, floor(log2(n / 50))].append(far[i][1] * sqrt(n))
+    out = {}
+    for i, (lang, n, failed, *_) in found.items():
+        c, w = far.get(i, (None, None))
+        bad = False
+        if c is not None:
+            like = sorted(scaled[lang, floor(log2(n / 50))])
+            low, middle = (like[ceil(p * len(like)) - 1] for p in (0.25, 0.5)) if len(like) >= 30 else (0, float("inf"))
+            beyond = w > 0.28 and w * sqrt(n) > middle + 4 * (middle - low) / 0.6745
+            bad = c > 0.30 or (n >= 100 and c > 0.172 and w > 0.28) or beyond
+        out[i] = (c, w, not failed and not bad)
+    return out

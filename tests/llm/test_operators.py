@@ -409,6 +409,22 @@ def test_quality(docs, pairs, empty):
     assert divergence.judge_quality(empty).count() == 0 == divergence.keep_good(empty).count()
 
 
+def test_verdicts_are_those_of_plain_divergence(spark):
+    r = random.Random(12)
+    common, rare = divergence.COMMON_WORDS[:18], ["house", "river", "Stone", "garden", "winter,", "letters", "été", "x2"]
+    word = lambda share: r.choice(common).capitalize() if r.random() < 0.05 else r.choice(common) if r.random() < share else r.choice(rare) + r.choice("abcdefgh")
+    rows = [(i, " ".join(word(0.5) for _ in range(r.choice([60, 70, 130, 300]))), r.choice(["en", "fr"])) for i in range(220)]
+    rows += [(1000 + i, " ".join(word(0.02) for _ in range(r.choice([60, 130, 300]))), "en") for i in range(12)]
+    rows += [(2000 + i, " ".join("".join(r.choice("#$%09XYZ^~") for _ in range(5)) for _ in range(120)), "fr") for i in range(6)]
+    rows += [(3000, None, "en"), (3001, "", None), (3002, rows[0][1], None), (3003, rows[1][1], "xx"), (3004, "a b c " * 200, "en")]
+    expected = brute.divergence(rows, divergence.COMMON_WORDS)
+    got = by_id(divergence.judge_quality(spark.createDataFrame([(*x, 5) for x in rows], "doc_id long, text string, lang string, _n_words int")))
+    for i, (c, w, kept) in expected.items():
+        near = lambda x: x if x is None else pytest.approx(x, abs=1e-7)
+        assert (got[i]["_char_distance"], got[i]["_word_distance"], got[i]["_kept"]) == (near(c), near(w), kept), i
+    assert {k for _, _, k in expected.values()} == {True, False} and sum(expected[i][2] for i in range(1000, 1012)) < 6
+
+
 def test_junk_is_told_from_prose(spark):
     r = random.Random(4)
     prose = lambda: " ".join(r.choice(["the", "of", "and", "to", "house", "river", "stone", "garden", "winter", "letters"]) for _ in range(200)).capitalize() + "."
@@ -599,3 +615,21 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r["doc_id"] for r in seen[2].collect()} == {i for i, (_, c) in near.items() if i == c}
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_packing(rows, [(r["doc_id"], r["text"]) for r in seen[3].collect()], 2048)
+
+
+def test_pipeline_stages_stand_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone int, batch int, q_row int, node int, doc int"
+    good = "The house of the river and the garden in winter was of stone, and it is not that which he had for the year. "
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, good * 1 + " ".join(f"word{k} of" for k in range(60)), "en", "a")]
+    rows += [rows[-1], (None, rows[-1][1], "en", None), (5, "x " * 30000, "fr", "b")]
+    for given in ([], [(*r, 0, 1, 2, 3, 4, 5) for r in rows]):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            n = out.count()
+            assert name == "pack" or out.columns == corpus_pipeline.COLUMNS
+            assert bool(n) == bool(given), name
+            if given:
+                assert {"quality_rules": n == 3, "line_dedup": n == 6, "near_dedup": n == 6, "mix": n >= 5, "pack": n >= 6}[name], (name, n)
