@@ -3,7 +3,7 @@
 Maximum-likelihood estimates are mixed with weights that depend on how often the context was seen (a bucket per power
 of two: of the two words before, or of the one word before where those two were not seen), learned by
 expectation-maximisation on counts of held-out training documents.  For that, held-out tokens are gathered in cells of
-like estimates (steps of a quarter power of two), each with its mean estimates; scores use no cells.
+like estimates (steps of half a power of two), each with its mean estimates; scores use no cells.
 
 Counting and look-up move arrays, not rows: documents are gathered into blocks of tokens; a block sends each of
 its distinct n-grams once to the hash range it falls in, where the blocks' counts are summed, and gets the sums
@@ -32,7 +32,7 @@ BLOCK_TOKENS = 1_000_000
 DEV_PART = 20
 BUCKETS = 24
 #: Cells per power of two of the probability ratios whose means the weights are learned from.
-GRID = 4
+GRID = 2
 #: Hash ranges per task; blocks per task at least, so that a range is bounded however much there is.
 RANGES, TASK_BLOCKS = 6, 64
 #: No word holds a blank, so these hashes are free for the end of a text and for what stands before its start.
@@ -162,14 +162,15 @@ class _Block:
         before = self.shifted(h, START)
         if what == TRIPLES:
             before = _mixed(self.shifted(before, START), before)
-        return np.unique(_mixed(before, h), return_inverse=True)
+        # 56 bits tell them apart (of 10**12 distinct ones about one in 10**5 shares its number), which saves a byte each
+        return np.unique(_mixed(before, h) & np.uint64(0xFFFFFFFFFFFFFF00), return_inverse=True)
 
 
 def _sums(blocks: DataFrame, what: int, tasks: int) -> DataFrame:
     """For every block, part by part, the training counts of its distinct n-grams over all blocks.
 
-    ``a`` and ``b`` are counts in training documents not held out for the weights, and in those held out; ``n`` is 1
-    for blocks of the latter.  Each part adds a row with block -1 (tokens and distinct n-grams of the former) and one with block -2 (tokens of
+    ``a`` and ``b`` are counts in training documents not held out for the weights, and in those held out, for blocks of
+    the latter (``n`` is 1); for other blocks ``a`` is their sum.  Each part adds a row with block -1 (tokens and distinct n-grams of the former) and one with block -2 (tokens of
     the latter, distinct n-grams of both).
     """
 
@@ -203,7 +204,9 @@ def _sums(blocks: DataFrame, what: int, tasks: int) -> DataFrame:
             for r, size in zip(rows, sizes, strict=True):
                 mine = at[cut : cut + size]
                 cut += size
-                yield _batch([(r[0], what, r[2], None, None, _packed(both[0][mine]), _packed(both[1][mine]), int(r[1] == DEV), None)])
+                # others than held-out blocks need the sum of both alone
+                one, two = (x[mine] for x in both) if r[1] == DEV else ((both[0] + both[1])[mine], mine[:0])
+                yield _batch([(r[0], what, r[2], None, None, _packed(one), _packed(two), int(r[1] == DEV), None)])
 
         rows: list[tuple] = []
         for row in _rows(batches):
@@ -222,7 +225,7 @@ def _sums(blocks: DataFrame, what: int, tasks: int) -> DataFrame:
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Blocks with their sums of words, pairs and triples, from rows sorted by block, what and part.
 
-    Sums are two arrays each: of training documents not held out for the weights, and of those held out.
+    Sums are two arrays each, as ``_sums`` sends them.
     """
 
     def whole(rows):
@@ -274,11 +277,11 @@ def learn_weights(cells: list[tuple], rounds: int = 200) -> np.ndarray:
             weight = np.where(np.arange(4) < first, 0, (share.sum(axis=0) + 0.5) / (part[:, 1].sum() + 0.5 * (4 - first)))
         return weight
 
-    weights = []
+    everything, weights = [learn(rows, first) for first in range(3)], []
     for b in range(2 * BUCKETS):
         first = 0 if b >= BUCKETS else 1 if b else 2
         mine = rows[rows[:, 0] == b]
-        weights.append(learn(mine if len(mine) else rows, first))
+        weights.append(learn(mine, first) if len(mine) else everything[first])
     return np.array(weights)
 
 
@@ -331,7 +334,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, *sums in _met(batches):
-            count, bucket, *estimates = _estimates(block, *(x + y for x, y in sums), firsts[False] + firsts[True], n_all)
+            count, bucket, *estimates = _estimates(block, *(x + y if len(y) else x for x, y in sums), firsts[False] + firsts[True], n_all)
             mixed = np.log10(sum((weights[bucket, k] * p for k, p in enumerate(estimates)), weights[bucket, 3] / (v_all + 1)))
             base = np.log10((count + 0.1) / (n_all + 0.1 * (v_all + 1)))
             yield pa.RecordBatch.from_arrays(

@@ -372,7 +372,7 @@ def test_scores(docs, pairs, empty, monkeypatch):
     assert alone and all(r["train_tokens"] == 0 and r["score"] <= 0 for r in alone)
 
 
-@pytest.mark.parametrize(("grid", "close"), [(64, 1e-4), (4, 0.01)])
+@pytest.mark.parametrize(("grid", "close"), [(64, 1e-4), (interpolation.GRID, 0.01)])
 def test_scores_are_those_of_plain_interpolation(spark, monkeypatch, grid, close):
     r = random.Random(8)
     text = lambda: " ".join(r.choices(["the", "of", "House", "house", "river", "stone", "a", "in", "winter", "letter"], [9, 6, 1, 2, 2, 1, 5, 4, 1, 1], k=r.randint(0, 40)))
