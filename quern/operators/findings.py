@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import profile as P
+from quern.operators import recipe_ops
 
 #: The order of severities.
 RANKS = {"high": 0, "warn": 1, "info": 2}
@@ -138,8 +139,6 @@ def analysis_skipped(df: DataFrame, t: Thresholds = DEFAULT) -> bool:
 
 #: What is stripped from numbers in text, and the shape of a date in text.
 NUMBER_DRESS = r"[,\s$€£¥%_]"
-DATE_SHAPE = r"^\s*(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})([T\s].*)?\s*$"
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy", "MM-dd-yyyy", "dd.MM.yyyy", "yyyy.MM.dd")
 
 
 def to_number(c: Column) -> Column:
@@ -150,10 +149,8 @@ def to_number(c: Column) -> Column:
 
 
 def to_moment(c: Column) -> Column:
-    """A date or time written in text, by the first known format that fits; null if none does."""
-    text = F.trim(c.cast("string"))
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
-    return F.when(text.rlike(DATE_SHAPE), F.coalesce(*tries))
+    """A date or time written in text, as recipes cast it; null if none fits."""
+    return recipe_ops.parsed_moment(c)
 
 
 def text_encoded(df: DataFrame, names: list[str] | None = None, t: Thresholds = DEFAULT) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.quantiles import exact_quantiles
 from quern.operators import profile as P
 
 #: Limits of slices, calibration, bootstrap and error patterns.
@@ -61,24 +63,34 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     e = y - p
     floor = lambda c: F.log1p(F.greatest(c, F.lit(0.0)))
     total = F.var_pop(y) * F.count(y)
-    return df.where(y.isNotNull()).agg(
+    known = df.where(y.isNotNull())
+    middle = exact_quantiles(known.select(F.lit(0).alias("k"), F.abs(e).alias("e")), "k", "e", [0.5]).agg(F.max(F.col("q")[0]).alias("median_ae"))
+    means = known.agg(
         F.count(y).alias("rows"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        F.when(total > 0, 1 - F.sum(e * e) / total).alias("r2"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"),
+        F.when(total > 0, 1 - F.sum(e * e) / total).alias("r2"),
         (100 * F.avg(F.when(y != 0, F.abs(e / F.when(y != 0, y))))).alias("mape_percent"),
         F.sqrt(F.avg((floor(y) - floor(p)) * (floor(y) - floor(p)))).alias("rmsle"),
     )
+    return means.crossJoin(F.broadcast(middle)).select("rows", "rmse", "mae", "r2", "median_ae", "mape_percent", "rmsle")  # one row each
 
 
-def _running(scores: DataFrame, buckets: int = 64) -> DataFrame:
+def _bucket(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
+    """Add how many of the sorted ``cuts`` a number reaches, by binary search; NaN reaches all."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    splits = [-float("inf"), *cuts, float("inf")]
+    placed = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep").transform(df)
+    return placed.withColumn(name, F.least(F.col(name), F.lit(float(len(cuts)))).cast("int"))
+
+
+def _running(scores: DataFrame) -> DataFrame:
     """``score, pos, neg`` with sums over higher scores ``pos_above, neg_above``.
 
     Two levels: sums per bucket of scores (few rows) and sums within a bucket, so no task sees all scores.
     """
-    cuts = scores.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    code = F.lit(0)
-    for c in sorted(set(cuts)):
-        code = code + (F.col("score") > F.lit(c)).cast("int")
-    placed = scores.withColumn("b", code)
+    buckets = min(4096, max(64, 4 * int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = scores.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    placed = _bucket(scores, "score", sorted({c for c in cuts if c == c and abs(c) < float("inf")}), "b")
     higher = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     sums = sums.select("b", F.coalesce(F.sum("bp").over(higher), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(higher), F.lit(0)).alias("bn"))
@@ -166,8 +178,7 @@ def threshold_curve(df: DataFrame, truth: Column, score: Column, steps: int = 19
     steps = max(steps, 2)
     cuts = [round(0.05 + 0.9 * i / (steps - 1), 10) for i in range(steps)]
     rows = df.select(truth.cast("int").alias("y"), score.cast("double").alias("s")).where("y is not null and s is not null")
-    reached = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("s") >= c))
-    counts = rows.groupBy(reached.alias("k")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    counts = _bucket(rows, "s", cuts, "k").groupBy("k").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     grid = df.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(cuts)] + [(0, None)], "k int, cutoff double")
     full = F.broadcast(grid).join(counts, "k", "left").fillna(0, ["pos", "neg"])
     up = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
@@ -230,7 +241,7 @@ def balanced_accuracy_of(cells: list[tuple]) -> float:
     return float(np.mean([hit[t] / n for t, n in total.items() if n])) if any(total.values()) else float("nan")
 
 
-def bootstrap_rows(df: DataFrame, metric: dict[str, Column], key: list[str], resamples: int = 200, seed: int = 0) -> DataFrame:
+def bootstrap_rows(df: DataFrame, metric: dict[str, Column], key: list[str], resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """``metric, ci_low, ci_high`` of means: Poisson weights of a hash of key and replicate stand for drawing rows.
 
     Every row enters every replicate, whatever the table's size.  All replicates and metrics share one pass; a row is

@@ -480,7 +480,7 @@ def permutation_importance(model: Fitted, df: DataFrame, key: list[str], columns
     from pyspark.sql import Window
 
     keys = [F.col(k) for k in key]
-    for c in columns[:60]:
+    for c in columns:
         drops = []
         for r in range(repeats):
             bucket = F.pmod(F.xxhash64(F.lit(r), *keys), F.lit(16))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.quantiles import exact_quantiles
 from quern.functions.stats import plain_missing, unbiased_kurtosis, unbiased_skew
 
 #: Rules of the kinds and sizes of the profile.
@@ -46,20 +47,22 @@ def melt(df: DataFrame, names: list[str], cast: str, keep: list[str] | None = No
 def numeric_profile(df: DataFrame, names: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Counts, moments, quartiles and outliers of numeric columns.
 
-    Quartiles are exact and linear (``approx`` asks for bounded memory instead).  Fences are 1.5 interquartile
+    Quartiles are exact and linear (``approx`` saves a pass).  Fences are 1.5 interquartile
     ranges from the quartiles, and values beyond them are outliers; a zero range has neither.
     """
     names = names or columns_of(df, is_numeric)
     cells = melt(df, names, "double")
     x = F.col("value")
     probs = [0.25, 0.5, 0.75]
-    quartiles = F.percentile_approx(x, probs, 10_000) if approx else F.percentile(x, F.array(*map(F.lit, probs)))
+    quartiles = F.percentile_approx(x, probs, 10_000) if approx else F.lit(None).cast("array<double>")
     moments = cells.groupBy("column").agg(
         F.count(x).alias("count"), F.sum(x.isNull().cast("long")).alias("missing"), F.avg(x).alias("mean"),
         F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
         quartiles.alias("q"), F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"),
         unbiased_skew(x).alias("skew"), unbiased_kurtosis(x).alias("kurtosis"),
     )
+    if not approx:  # a row per column
+        moments = moments.drop("q").join(F.broadcast(exact_quantiles(cells, "column", "value", probs)), "column", "left")
     moments = moments.select("*", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75")).drop("q")
     moments = moments.withColumn("iqr", F.col("p75") - F.col("p25"))
     moments = moments.withColumn("outlier_low", F.when(F.col("iqr") > 0, F.col("p25") - 1.5 * F.col("iqr")))

@@ -46,10 +46,12 @@ def parsed_number(c, kind):
 
 
 def parsed_moment(c):
+    """A date or time written in text: ISO with or without time, fraction and zone, or with slashes, dots or month names."""
     text = F.trim(c.cast("string"))
-    shape = r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})([T ].*)?$"
-    formats = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy", "MM-dd-yyyy", "dd.MM.yyyy", "yyyy.MM.dd"]
-    return F.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
+    shape = r"^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{1,2} [A-Za-z]{3,9} \d{4}|[A-Za-z]{3,9} \d{1,2},? \d{4})([T ].*)?$"
+    days = ["yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "d.M.yyyy", "yyyy.M.d", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy"]
+    formats = [f"{d}[ HH:mm[:ss]]" for d in days]
+    return F.when(text.rlike(shape), F.coalesce(text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
 
 
 def cast(df, p, state=None):
