@@ -158,6 +158,9 @@ def datepart(df, p, state=None):
         "year": F.year, "month": F.month, "day": F.dayofmonth, "dayofweek": F.weekday, "dayofyear": F.dayofyear, "quarter": F.quarter,
         "hour": F.hour, "week": F.weekofyear,
     }
+    unknown = [x for x in p.get("parts", []) if x not in made]
+    if unknown:
+        raise ValueError(f"datepart: unknown {', '.join(map(str, unknown))}; known are {', '.join(made)}")
     kinds = dict(df.dtypes)
     for n in present(df, p["columns"]):
         c = F.col(rename_free(df, n))

@@ -34,3 +34,9 @@ def test_moments_are_read_in_many_forms(spark):
     texts = ["2024-01-05T10:00:00Z", "2024-01-05 10:00:00.123", "5 Jan 2024", "2024-1-5", "1/5/2024 10:30", "05.01.2024", "January 5, 2024", "nope", "2024-13-45"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.date_format(recipe_ops.parsed_moment(F.col("t")), "yyyy-MM-dd").alias("d"))
     assert [r["d"] for r in rows.collect()] == ["2024-01-05"] * 7 + [None, None]
+
+
+def test_an_unknown_date_part_is_named(spark):
+    df = spark.createDataFrame([("2024-01-05",)], "t string")
+    with pytest.raises(ValueError, match="era"):
+        recipe_ops.datepart(df, {"columns": ["t"], "parts": ["year", "era"]})
