@@ -24,6 +24,15 @@ def test_exact_quantiles_are_exact(spark, monkeypatch, accuracy):
     assert quantiles.exact_quantiles(df.limit(0), "k", "v", [0.5]).count() == 0
 
 
+def test_quantiles_of_small_groups(spark):
+    df = spark.createDataFrame([(n, float(i * i % 101)) for n in [*range(1, 125), 2500, 7001] for i in range(n)], "k int, v double")
+    got = {x["k"]: x["q"] for x in quantiles.exact_quantiles(df, "k", "v", PROBS).collect()}
+    expected = df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, PROBS))).alias("q")).collect()
+    assert len(got) == 126
+    for x in expected:
+        assert got[x["k"]] == pytest.approx(x["q"], rel=1e-12)
+
+
 def test_cutoffs_count_scores_on_and_beyond_the_grid(spark):
     df = spark.createDataFrame([(1, 0.05), (0, 0.04), (1, 0.95), (0, 1.0), (1, float("nan")), (0, -5.0)], "y int, s double")
     curve = {r["cutoff"]: (r["tp"], r["fp"]) for r in metrics.threshold_curve(df, F.col("y"), F.col("s"), steps=2).collect()}
