@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import profile as P
-from quern.operators import recipe_ops
+from quern.operators import metrics, recipe_ops
 
 #: The order of severities.
 RANKS = {"high": 0, "warn": 1, "info": 2}
@@ -166,6 +166,19 @@ def text_encoded(df: DataFrame, names: list[str] | None = None, t: Thresholds =
     return shares.select("column", kind.alias("kind"), F.when(F.col("numbers") >= t.parse_share, F.col("numbers")).otherwise(F.col("dates")).alias("share")).where("kind is not null")
 
 
+def mixed_types(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``column, types``: VARIANT columns whose values are of several types, sorted; a null is of none.
+
+    Other columns hold one type by their schema.  One narrow aggregate: a column has few types.
+    """
+    names = names if names is not None else [n for n, k in df.dtypes if k == "variant"]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, types array<string>")
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.regexp_extract(F.schema_of_variant(F.col(f"`{n}`")), "^[A-Z_]+", 0).alias("type")) for n in names])
+    each = df.select(F.inline(cells)).where("type <> 'VOID'").groupBy("column").agg(F.sort_array(F.collect_set("type")).alias("types"))
+    return each.where(F.size("types") > 1)
+
+
 def class_imbalance(df: DataFrame, target: str, t: Thresholds = DEFAULT) -> DataFrame:
     """``classes, min_share, severity`` of a classification target; empty if it is balanced or has one class."""
     shares = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
@@ -201,8 +214,14 @@ def leakage_partition(df: DataFrame, target: str, names: list[str] | None = None
 
 
 def detect_findings(df: DataFrame, target: str | None = None, t: Thresholds = DEFAULT) -> DataFrame:
-    """All findings, the most severe first (``rank``)."""
-    parts = [dataset_shape(df, t), column_quality(df, t)]
+    """All findings, the most severe first (``rank``).
+
+    VARIANT columns are looked at as JSON text.  Features that the correlation with the target has flagged are not
+    flagged again for parting its classes, and only a classification target is parted.
+    """
+    several = mixed_types(df).select(*_finding("mixed-types", "warn", F.array("column"), F.size("types")))
+    df = df.withColumns({n: F.to_json(F.col(f"`{n}`")) for n, k in df.dtypes if k == "variant"})
+    parts = [several, dataset_shape(df, t), column_quality(df, t)]
     if P.columns_of(df, P.is_numeric):
         parts.append(distribution(df, t))
     parts.append(duplicate_columns(df).select(*_finding("duplicate-columns", "warn", F.array("duplicate_of", "column"), F.lit(1.0))))
@@ -213,9 +232,14 @@ def detect_findings(df: DataFrame, target: str | None = None, t: Thresholds = DE
     parts.append(text_encoded(df, t=t).select(*_finding(F.col("kind"), "warn", F.array("column"), F.col("share"))))
     if target:
         parts.append(class_imbalance(df, target, t).select(*_finding("class-imbalance", F.col("severity"), F.array(F.lit(target)), F.col("min_share"))))
+        flagged = []
         if P.is_numeric(df.schema[target].dataType):
-            parts.append(leakage_correlation(df, target, t).select(*_finding("leakage-suspect", "high", F.array("column"), F.col("correlation"))))
-        parts.append(leakage_partition(df, target, t=t).select(*_finding("leakage-suspect", "high", F.array("column"), F.col("coverage"))))
+            near = leakage_correlation(df, target, t)
+            flagged = [r["column"] for r in near.select("column").collect()]  # columns
+            parts.append(near.select(*_finding("leakage-suspect", "high", F.array("column"), F.col("correlation"))))
+        rest = [n for n in df.columns if n != target and n not in flagged]
+        if rest and metrics.detect_task(df, target) == "classification":
+            parts.append(leakage_partition(df, target, rest, t).select(*_finding("leakage-suspect", "high", F.array("column"), F.col("coverage"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

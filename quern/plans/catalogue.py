@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import drift, findings, metrics, profile, recipe, recipe_ops, significance, splits
+from quern.operators import drift, findings, metrics, profile, recipe, recipe_ops, runs, significance, splits
 
 DIGITS = 4
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,6 +214,15 @@ def _(t):
     return findings.detect_findings(gaps(t).select("l_orderkey", *NUMBERS, "l_returnflag", "l_linestatus"), "l_returnflag")
 
 
+@query("find_mixed_types", "s:column s:types", "SELECT 'v' AS \"column\", string_agg(DISTINCT k, ',' ORDER BY k) AS types FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'STRING' WHEN event_id % 3 = 1 THEN 'BIGINT' END AS k FROM events) HAVING count(DISTINCT k) > 1")
+def _(t):
+    third = F.pmod("event_id", F.lit(3))
+    text = F.when(third == 0, F.to_json(F.array("event_type"))).when(third == 1, F.col("event_id").cast("string")).otherwise("null")
+    text = F.when(third == 0, F.regexp_replace(text, r"^\[|\]$", "")).otherwise(text)
+    df = t("events").select(F.parse_json(text).alias("v"), F.parse_json(F.col("event_id").cast("string")).alias("one"))
+    return findings.mixed_types(df).select("column", F.array_join("types", ",").alias("types"))
+
+
 # --- drift ------------------------------------------------------------------------------------------------
 
 HALVES = "(SELECT count(*) // 2 AS h FROM events)"
@@ -253,6 +262,22 @@ def _(t):
     return drift.drift(a.select("event_type"), b.select("event_type")).where("kind = 'new-categories'").select("kind", "column", "value")
 
 
+@query("drift_cardinality", "s:kind s:column d:metric", "SELECT 'cardinality-changed' AS kind, 'c' AS \"column\", b / a - 1 AS metric FROM (SELECT count(DISTINCT l_linenumber)::DOUBLE AS b, count(DISTINCT l_linenumber) FILTER (l_linenumber <= 3) AS a FROM lineitem) WHERE abs(b / a - 1) >= 0.5")
+def _(t):
+    df = t("lineitem").select(F.concat(F.lit("line "), "l_linenumber").alias("c"), "l_linenumber")
+    found = drift.drift(df.where("l_linenumber <= 3").select("c"), df.select("c"))
+    return found.where("kind = 'cardinality-changed'").select("kind", "column", "metric")
+
+
+@query("drift_category_share", "s:kind s:column d:metric", (
+    "WITH a AS (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'N' ELSE l_returnflag END AS f, count(*) AS n FROM lineitem GROUP BY 1), "
+    "s AS (SELECT 100.0 * (SELECT max(n) / sum(n) FROM b) - 100.0 * (SELECT max(n) / sum(n) FROM a) AS metric) SELECT 'category-share-changed' AS kind, 'l_returnflag' AS \"column\", metric FROM s WHERE abs(metric) >= 15"))
+def _(t):
+    a = t("lineitem").select("l_returnflag")
+    b = a.select(F.when(F.col("l_returnflag") == "A", "N").otherwise(F.col("l_returnflag")).alias("l_returnflag"))
+    return drift.drift(a, b).where("kind = 'category-share-changed'").select("kind", "column", "metric")
+
+
 @query("drift_rows", "s:kind s:severity d:metric", "SELECT 'row-count-changed' AS kind, 'warn' AS severity, m / n AS metric FROM (SELECT count(*) AS n, count(*) FILTER (l_linenumber = 1) AS m FROM lineitem) WHERE m / n < 0.5")
 def _(t):
     return drift.row_count_drift(t("lineitem"), t("lineitem").where("l_linenumber = 1")).select("kind", "severity", "metric")
@@ -516,7 +541,15 @@ def _(t):
     return metrics.score_metrics(scored(t), F.col("y"), F.col("score"))
 
 
-@query("eval_roc_auc_ovr")
+def _area(label: str, score: str) -> str:
+    counts = f"SELECT {score} AS s, count(*) FILTER (l_returnflag = '{label}')::DOUBLE AS p, count(*) FILTER (l_returnflag <> '{label}')::DOUBLE AS n FROM lineitem GROUP BY 1"
+    return f"SELECT sum((pa + p / 2) * n) / (sum(p) * sum(n)) AS area FROM (SELECT *, sum(p) OVER (ORDER BY s DESC) - p AS pa FROM ({counts}))"
+
+
+_AREAS = " UNION ALL ".join(_area(c, s) for c, s in {"A": "l_quantity", "N": "-l_quantity", "R": "l_tax"}.items())
+
+
+@query("eval_roc_auc_ovr", "d:roc_auc_ovr", f"SELECT avg(area) AS roc_auc_ovr FROM ({_AREAS})")
 def _(t):
     q = F.col("l_quantity")
     return metrics.roc_auc_ovr(t("lineitem"), "l_returnflag", {"A": q, "N": -q, "R": F.col("l_tax")})
@@ -609,3 +642,24 @@ def _(t):
     spark = t("region").sparkSession
     ps = {"a": 0.01, "b": 0.04, "c": 0.03, "d": 0.005}
     return spark.createDataFrame([(m, ps[m], a) for m, a in significance.holm(ps).items()], "model string, p double, adjusted double")
+
+
+_FOLDS = "(SELECT l_orderkey % 5 AS fold, avg(l_discount) AS a, avg(l_tax) AS b, avg(l_discount) - avg(l_tax) AS d FROM lineitem GROUP BY 1)"
+
+
+@query("bench_t_test", "d:difference d:t", f"SELECT avg(d) AS difference, avg(d) / sqrt((1 / 5 + 20 / 80) * var_samp(d)) AS t FROM {_FOLDS}")
+def _(t):
+    """Two models' scores on five folds, here means per fold; the rows that reach the driver are the folds."""
+    df = t("lineitem").groupBy((F.col("l_orderkey") % 5).alias("fold")).agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"))
+    folds = df.orderBy("fold").collect()
+    difference, value, _ = significance.corrected_paired_t_test([r["a"] for r in folds], [r["b"] for r in folds], 80, 20)
+    return df.sparkSession.createDataFrame([(difference, value)], "difference double, t double")
+
+
+@query("runs_ranked", "s:run_id s:dataset s:target d:value i:rank", "SELECT *, rank() OVER (PARTITION BY dataset, target ORDER BY value) AS rank FROM (SELECT l_returnflag || l_linenumber AS run_id, l_returnflag AS dataset, 'tax' AS target, round(avg(l_tax), 4) AS value FROM lineitem GROUP BY l_returnflag, l_linenumber)")
+def _(t):
+    made = t("lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.round(F.avg("l_tax"), 4).alias("value")).select(
+        F.concat("l_returnflag", "l_linenumber").alias("run_id"), F.col("l_returnflag").alias("dataset"), F.lit("tax").alias("target"), "value",
+        F.lit(False).alias("greater_is_better"),
+    )
+    return runs.rank_runs(made).drop("greater_is_better")

@@ -83,3 +83,15 @@ def test_student_t():
     assert t_two_sided(2.0, 10) == pytest.approx(0.07338803, rel=1e-5)
     assert t_two_sided(0.5, 3) == pytest.approx(0.6514, rel=1e-3)
     assert t_quantile(0.975, 4) == pytest.approx(2.776445, rel=1e-5)
+
+
+def test_variants_of_several_types(spark):
+    df = spark.sql("SELECT id, parse_json(CASE WHEN id < 5 THEN '1' WHEN id = 5 THEN 'null' ELSE '\"x\"' END) AS v, parse_json('2') AS w, id % 2 AS y FROM range(60)")
+    found = {(r["kind"], tuple(r["columns"])) for r in findings.detect_findings(df, "y").collect()}
+    assert ("mixed-types", ("v",)) in found and ("mixed-types", ("w",)) not in found
+
+
+def test_a_regression_target_is_not_parted(spark):
+    df = spark.range(400).selectExpr("floor(id / 4) * 1.5 AS y", "cast(floor(id / 4) AS string) AS g", "floor(id / 4) * 3.0 AS z")
+    found = [r for r in findings.detect_findings(df, "y").collect() if r["kind"] == "leakage-suspect"]
+    assert [list(r["columns"]) for r in found] == [["z"]]
