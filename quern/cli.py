@@ -5,8 +5,9 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators import artifacts, drift, findings, metrics, modelling, profile, recipe, runs, splits
@@ -25,7 +26,10 @@ def load(spark, args, path=None) -> DataFrame:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn(KEY, F.xxhash64(F.to_json(F.struct("*")), F.monotonically_increasing_id()))
+    """A key from the row alone, equal in any partitioning; equal rows are numbered, and which has which number is all one."""
+    named = df.withColumn(KEY, F.md5(F.to_json(F.struct("*"))))
+    k = F.row_number().over(Window.partitionBy(KEY).orderBy(KEY))
+    return named.withColumn("_k", k).withColumn(KEY, F.concat_ws("-", KEY, "_k")).drop("_k")
 
 
 def rows_of(df: DataFrame, limit: int = 1000) -> list[dict]:
@@ -62,8 +66,18 @@ def inspect(spark, a) -> int:
     return gate(found, a.fail_on)
 
 
+def _side(spark, a, path: str) -> tuple[DataFrame, int]:
+    """The snapshot and number of rows of a table, or of a profile that ``inspect --json`` wrote."""
+    if path.endswith(".json"):
+        with open(path) as f:
+            saved = artifacts.DatasetProfile.from_json(f.read())
+        return drift.snapshot_of_profile(spark, saved), saved.n_rows
+    df = load(spark, a, path)
+    return drift.snapshot(df), df.count()
+
+
 def diff(spark, a) -> int:
-    found = rows_of(drift.drift(load(spark, a, a.baseline), load(spark, a, a.current)))
+    found = rows_of(drift.drift_of_sides(_side(spark, a, a.baseline), _side(spark, a, a.current)))
     if a.json:
         with open(a.json, "w") as f:
             json.dump(found, f, default=str)
@@ -126,9 +140,10 @@ def bench(spark, a) -> int:
     if a.oof and out.oof is not None:
         io.write_table(out.oof, a.oof)
     if not a.no_save:
+        sha = io.hash_table(df.drop(KEY))
         for r in out.results:
             if not r.failed:
-                runs.save_manifest(runs.manifest("bench", io.hash_payload(a.data), a.target, out.task, r.name, {out.metric: r.mean}, a.seed, 0, r.seconds), a.runs_dir)
+                runs.save_manifest(runs.manifest("bench", sha, a.target, out.task, r.name, {out.metric: r.mean}, a.seed, 0, r.seconds), a.runs_dir)
     return 0
 
 
@@ -147,24 +162,44 @@ def ensemble(spark, a) -> int:
 
 
 def fit(spark, a) -> int:
-    df = load(spark, a)
-    df = recipe.apply_deterministic(_recipe(a.recipe), df) if a.recipe else df
+    df, fitted = load(spark, a), None
+    if a.recipe:
+        fitted, df = recipe.fit(_recipe(a.recipe), df)
     model = modelling.fit_model(df, a.target, a.model, a.task, json.loads(a.params) if a.params else None)
     if model.model is None:
         raise io.InputError("the dummy is not saved")
     model.model.write().overwrite().save(a.out)
-    spark.createDataFrame([(model.task, model.target, model.labels)], "task string, target string, labels array<string>").write.mode("overwrite").json(f"{a.out}/quern")
+    spark.createDataFrame([(model.task, model.target, model.labels, fitted is not None)], FACTS).write.mode("overwrite").json(f"{a.out}/quern")
+    if fitted:
+        fitted.save(spark, f"{a.out}/quern-recipe")
     return 0
 
 
+#: What stands beside a saved model; ``prepared``: the fitted steps of its recipe stand there, too.
+FACTS = "task string, target string, labels array<string>, prepared boolean"
+
+
+def _prepared(spark, a) -> DataFrame:
+    """The rows as the model's recipe prepares them, by what it learned from the training rows."""
+    df = load(spark, a)
+    if spark.read.schema(FACTS).json(f"{a.model}/quern").first()["prepared"]:
+        return recipe.FittedRecipe.load(spark, f"{a.model}/quern-recipe").transform(df, keep_rows=True)
+    given = getattr(a, "recipe", None)
+    if not given:
+        return df
+    steps = _recipe(given)
+    if learned := [s.op for s in steps.steps if s.fitted or s.op == "clip"]:
+        raise recipe.RecipeError(f"{', '.join(learned)} must be learned with the model: give the recipe to fit")
+    return recipe.apply_deterministic(steps, df)
+
+
 def _model(spark, path: str) -> modelling.Fitted:
-    facts = spark.read.schema("task string, target string, labels array<string>").json(f"{path}/quern").first()
+    facts = spark.read.schema(FACTS).json(f"{path}/quern").first()
     return modelling.Fitted(facts["task"], facts["target"], modelling.PipelineModel.load(path), list(facts["labels"] or []))
 
 
 def predict(spark, a) -> int:
-    df = load(spark, a)
-    df = recipe.apply_deterministic(_recipe(a.recipe), df) if a.recipe else df
+    df = _prepared(spark, a)
     model = _model(spark, a.model)
     out = model.predict(df).withColumnRenamed("prediction", a.label)
     if model.task == "classification":
@@ -176,9 +211,24 @@ def predict(spark, a) -> int:
 
 
 def evaluate(spark, a) -> int:
-    df, model = load(spark, a), _model(spark, a.model)
-    found = modelling.score(model.predict(df), a.target, model.task)
-    print(json.dumps(found, indent=1))
+    df, model = _prepared(spark, a), _model(spark, a.model)
+    if not a.target:
+        a.target = model.target
+    if a.target not in df.columns:
+        raise io.InputError(f"no column {a.target}")
+    done = artifacts.evaluate_model(model, df, a.target, a.slice_by.split(",") if a.slice_by else None)
+    found = done.metrics
+    print(json.dumps({"task": done.task, "rows": done.rows, "metrics": found, "interval": done.interval}, indent=1, default=str))
+    for rows in (done.baselines, done.slices, done.calibration):
+        if rows:
+            show(rows)
+    show([{"severity": s, "check": c, "meaning": EXPLANATIONS.get(c, "")} for c, s in done.checks])
+    if a.json:
+        with open(a.json, "w") as f:
+            json.dump(asdict(done), f, indent=1, default=str)
+    if a.runs_dir:
+        made = runs.manifest("eval", io.hash_table(df), a.target, done.task, a.model, found, a.seed, done.rows, details={"checks": done.checks})
+        runs.save_manifest(made, a.runs_dir)
     for rule in a.fail_under or []:
         name, _, value = rule.partition("=")
         if name not in found:
@@ -195,7 +245,7 @@ def _positive(df: DataFrame, model, a):
 
 def threshold(spark, a) -> int:
     model = _model(spark, a.model)
-    df = model.predict(load(spark, a))
+    df = model.predict(_prepared(spark, a))
     y, s = _positive(df, model, a)
     curve = metrics.threshold_curve(df, y, s, a.steps, a.miss_cost, a.alarm_cost)
     show(rows_of(curve))
@@ -205,7 +255,7 @@ def threshold(spark, a) -> int:
 
 def errors(spark, a) -> int:
     model = _model(spark, a.model)
-    df = model.predict(load(spark, a))
+    df = model.predict(_prepared(spark, a))
     if model.task == "regression":
         wrong = metrics.residual_rows(df, a.target, "prediction")
     else:
@@ -226,7 +276,8 @@ def sweep(spark, a) -> int:
     if a.dry_run:
         print(f"{len(plan.cells())} cells")
         return 0
-    show(runs.run_sweep(keyed(load(spark, a, data["data"])), io.hash_payload(data["data"]), data["target"], [KEY], plan, a.out, data.get("task"), a.force))
+    df = load(spark, a, data["data"])
+    show(runs.run_sweep(keyed(df), io.hash_table(df), data["target"], [KEY], plan, a.out, data.get("task"), a.force))
     return 0
 
 
@@ -265,7 +316,7 @@ def parser() -> argparse.ArgumentParser:
     verb("apply", apply, "recipe", "data", out="out.parquet", strict=False)
     verb("export", export, "recipe", out="prepare.py")
     verb("split", split, "data", target=None, test_size=0.2, strategy="auto", group=None, time=None, train="train.parquet", test="test.parquet")
-    verb("eval", evaluate, "model", "data", target=None, fail_under=[])
+    verb("eval", evaluate, "model", "data", target=None, fail_under=[], slice_by=None, json=None, runs_dir=None)
     verb("threshold", threshold, "model", "data", target=None, positive=None, objective="f1", steps=19, miss_cost=1.0, alarm_cost=1.0)
     verb("errors", errors, "model", "data", target=None, show=20, out=None)
     verb("bench", bench, "data", target=None, models="linear,tree", list_models=False, task=None, cv=5, recipe=None, params=None, metric=None, group=None, balance=False, oof=None, no_save=False, runs_dir="runs")

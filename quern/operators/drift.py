@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import profile as P
@@ -24,13 +24,35 @@ def snapshot(df: DataFrame) -> DataFrame:
     return base.join(F.broadcast(top), "column", "left")
 
 
+SNAPSHOT = "column string, kind string, count bigint, missing bigint, unique bigint, mean double, std double, top array<struct<rank:int,value:string,count:bigint>>"
+
+
+def snapshot_of_profile(spark: SparkSession, saved) -> DataFrame:
+    """The snapshot that a saved profile holds: a row per column, without the data."""
+    rows = [
+        (c.name, c.kind, c.count, c.missing, c.unique, c.stats.get("mean"), c.stats.get("std"), [(i + 1, v, n) for i, (v, n) in enumerate(c.top_values)])
+        for c in saved.columns
+    ]
+    return spark.createDataFrame(rows, SNAPSHOT)
+
+
+def drift_of_sides(before: tuple[DataFrame, int], after: tuple[DataFrame, int]) -> DataFrame:
+    """Drift between two snapshots with their tables' numbers of rows."""
+    spark = before[0].sparkSession
+    rows = (spark.createDataFrame([(side[1],)], f"n{k} bigint") for k, side in enumerate((before, after)))
+    return drift_of_snapshots(before[0], after[0]).unionByName(_row_count_drift(*rows))
+
+
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
     """``kind, severity, column, value, metric``, a row per finding; ``value`` is the new category where there is one."""
     return drift_of_snapshots(snapshot(before), snapshot(after)).unionByName(row_count_drift(before, after))
 
 
 def row_count_drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    n0, n1 = (d.agg(F.count(F.lit(1)).alias(c)) for d, c in ((before, "n0"), (after, "n1")))
+    return _row_count_drift(*(d.agg(F.count(F.lit(1)).alias(c)) for d, c in ((before, "n0"), (after, "n1"))))
+
+
+def _row_count_drift(n0: DataFrame, n1: DataFrame) -> DataFrame:
     ratio = F.try_divide(F.col("n1").cast("double"), F.col("n0"))
     both = n0.crossJoin(n1)  # one row each
     return both.where((ratio > ROW_RATIO) | (ratio < 1 / ROW_RATIO) | (ratio.isNull() & (F.col("n1") > 0))).select(*_row("row-count-changed", "warn", F.lit(None), ratio))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import inspect
+import json
 from dataclasses import dataclass, field
+from datetime import date, datetime
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators import recipe_ops as ops
 
@@ -103,6 +106,22 @@ def fit_step(step: Step, df: DataFrame):
     return fit(df, step.params) if fit else None
 
 
+def _plain(x):
+    """A learned value that JSON lacks, tagged with its type."""
+    for name, kind in (("timestamp", datetime), ("date", date)):
+        if isinstance(x, kind):
+            return {f"${name}": x.isoformat()}
+    if isinstance(x, Decimal):
+        return {"$decimal": str(x)}
+    raise TypeError(f"{type(x).__name__} can't be saved")
+
+
+def _typed(x: dict):
+    made = {"$timestamp": datetime.fromisoformat, "$date": date.fromisoformat, "$decimal": Decimal}
+    tag = next(iter(x), None)
+    return made[tag](x[tag]) if len(x) == 1 and tag in made else x
+
+
 @dataclass
 class FittedRecipe:
     """A recipe with what its steps learned, to be applied to other rows."""
@@ -110,13 +129,37 @@ class FittedRecipe:
     recipe: Recipe
     states: list
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, keep_rows: bool = False) -> DataFrame:
+        """``df`` prepared by what was learned; ``keep_rows`` leaves out steps that drop rows, as predictions need."""
         for step, state in zip(self.recipe.steps, self.states, strict=True):
+            if keep_rows and (step.op == "dedupe" or step.params.get("strategy") == "drop_rows"):
+                continue
             if state is not None or not (step.fitted or step.op == "clip"):
                 df = _function(step.op)(df, step.params, state) if _runnable(step, df, False) else df
         return df
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """What was learned as JSON, and a table for each target-encoded column, as that may be as wide as the data."""
+        states = []
+        for i, state in enumerate(self.states):
+            if state and "sums" in state:
+                for k, table in enumerate(state["sums"].values()):
+                    table.write.mode("overwrite").parquet(f"{path}/sums-{i}-{k}")
+                state = state | {"sums": list(state["sums"])}
+            states.append(state)
+        text = json.dumps({"recipe": self.recipe.as_dict(), "states": states}, default=_plain)
+        spark.createDataFrame([(text,)], "fitted string").write.mode("overwrite").parquet(f"{path}/states")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FittedRecipe:
+        data = json.loads(spark.read.parquet(f"{path}/states").first()["fitted"], object_hook=_typed)
+        for i, state in enumerate(data["states"]):
+            if state and "sums" in state:
+                state["sums"] = {n: spark.read.parquet(f"{path}/sums-{i}-{k}") for k, n in enumerate(state["sums"])}
+        return cls(Recipe.from_dict(data["recipe"]), data["states"])
+
+
 def fit(recipe: Recipe, df: DataFrame, strict: bool = False) -> tuple[FittedRecipe, DataFrame]:
     """Fit step by step on ``df``; returns the fitted recipe and ``df`` transformed (target encoding out of fold)."""
     states = []

@@ -132,6 +132,13 @@ def hash_file(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def hash_table(df: DataFrame) -> str:
+    """Digest of a table's columns, types and rows, whatever their order or partitioning: one aggregate."""
+    row = F.to_json(F.struct(*[F.col(f"`{n}`") for n in sorted(df.columns)]))
+    sums = df.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(k), row).cast("decimal(38,0)")) for k in range(2)]).first()
+    return hash_payload([sorted(df.dtypes), *map(str, sums)])
+
+
 def hash_payload(payload: object) -> str:
     return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 

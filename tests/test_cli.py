@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern import cli
 
@@ -43,3 +44,40 @@ def test_split_fit_predict_judge(data):
     assert cli.main(["eval", f"{data}/model", f"{data}/test.parquet", "--target", "y", "--fail-under", "accuracy=1.1"]) == 1
     assert cli.main(["threshold", f"{data}/model", f"{data}/test.parquet", "--target", "y"]) == 0
     assert cli.main(["errors", f"{data}/model", f"{data}/test.parquet", "--target", "y"]) == 0
+
+
+def test_fitted_steps_stay_with_the_model(data):
+    steps = ['impute:{"columns": ["a"], "strategy": "mean"}', 'scale:{"columns": ["a"]}', 'target-encode:{"columns": ["b"], "target": "y"}']
+    assert cli.main(["clean", f"{data}/t.csv", "--out", f"{data}/f.yaml", "--target", "y", *[x for s in steps for x in ("--step", s)]]) == 0
+    assert cli.main(["fit", f"{data}/t.csv", "--target", "y", "--model", "tree", "--recipe", f"{data}/f.yaml", "--out", f"{data}/prepared"]) == 0
+    (data / "one.csv").write_text("a,b,y\n16,u,yes\n0,v,no\n,w,no\n")  # scaled by itself, or without its gap, this would differ
+    assert cli.main(["predict", f"{data}/prepared", f"{data}/one.csv", "--out", f"{data}/one.parquet"]) == 0
+    found = cli.spark_session().read.parquet(f"{data}/one.parquet")
+    rows = found.orderBy(F.desc("a")).collect()
+    assert len(rows) == 3 and (rows[0]["prediction"], rows[2]["prediction"]) == ("yes", "no")
+    assert 1 < rows[0]["a"] < 2 and abs(rows[1]["a"]) < 1e-9 and rows[2]["a"] < -1
+    assert cli.main(["fit", f"{data}/t.csv", "--target", "y", "--model", "tree", "--out", f"{data}/plain"]) == 0
+    assert cli.main(["predict", f"{data}/plain", f"{data}/one.csv", "--recipe", f"{data}/f.yaml", "--out", f"{data}/no.parquet"]) == 2
+
+
+def test_eval_reports_and_diff_takes_a_profile(data):
+    assert cli.main(["fit", f"{data}/t.csv", "--target", "y", "--model", "tree", "--out", f"{data}/m2"]) == 0
+    assert cli.main(["eval", f"{data}/m2", f"{data}/t.csv", "--json", f"{data}/e.json", "--runs-dir", f"{data}/runs"]) == 0
+    report = json.loads((data / "e.json").read_text())
+    assert report["interval"] and report["baselines"] and report["confusion"] and ["beats-baseline", "info"] in report["checks"]
+    assert len(list((data / "runs").glob("*.json"))) == 1
+    assert cli.main(["inspect", f"{data}/t.csv", "--json", f"{data}/base.json", "--quiet"]) == 0
+    assert cli.main(["diff", f"{data}/base.json", f"{data}/t.csv", "--json", f"{data}/d.json"]) == 0
+    assert json.loads((data / "d.json").read_text()) == []
+    (data / "half.csv").write_text("\n".join((data / "t.csv").read_text().splitlines()[:60]) + "\n")
+    assert cli.main(["diff", f"{data}/base.json", f"{data}/half.csv", "--json", f"{data}/d.json"]) == 0
+    assert "row-count-changed" in {r["kind"] for r in json.loads((data / "d.json").read_text())}
+
+
+def test_hashes_and_keys_follow_the_rows_alone(spark):
+    from quern.sources import io
+
+    df = spark.createDataFrame([(i % 7, str(i % 3)) for i in range(40)], "a int, b string")
+    assert io.hash_table(df) == io.hash_table(df.repartition(5).select("b", "a")) != io.hash_table(df.limit(39))
+    keys = lambda d: sorted(r[0] for r in cli.keyed(d).select(cli.KEY).collect())
+    assert keys(df) == keys(df.repartition(3)) and len(set(keys(df))) == 40
