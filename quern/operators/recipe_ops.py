@@ -34,8 +34,9 @@ def dedupe(df, p, state=None):
     subset = p.get("subset")
     if not subset:
         return df.dropDuplicates()
-    first = F.row_number().over(Window.partitionBy(*subset).orderBy(*row_order(df, p.get("key"))))
-    return df.withColumn("_first", first).where("_first = 1").drop("_first")
+    # an aggregate, so that a large group shrinks to a row in each task before it is shuffled
+    first = F.min_by(F.struct("*"), F.struct(*row_order(df, p.get("key")))).alias("_first")
+    return df.groupBy(*[F.col(rename_free(df, c)).alias(f"_by{i}") for i, c in enumerate(subset)]).agg(first).select("_first.*")
 
 
 def parsed_number(c, kind):
@@ -320,8 +321,10 @@ def over_all_rows(df, order, reach, value, name, buckets=32):
     """A window over the whole table without one task: buckets by quantiles of the first order column, each
     with the last ``reach`` rows before it."""
     kind = df.select(order[0].alias("b")).dtypes[0][1]
-    if kind == "string":  # the first six bytes as a number keep the order
-        by = F.conv(F.rpad(F.hex(F.substring(F.encode(order[0], "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if kind == "string":  # six bytes as a number keep the order, from the first in which texts differ
+        low, high = (x.encode() for x in df.agg(F.coalesce(F.min(order[0]), F.lit("")), F.coalesce(F.max(order[0]), F.lit(""))).first())
+        same = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+        by = F.conv(F.rpad(F.hex(F.substring(F.encode(order[0], "utf-8"), same + 1, 6)), 12, "0"), 16, 10).cast("double")
     else:
         by = (order[0].cast("timestamp") if kind in ("timestamp_ntz", "date") else order[0]).cast("double")
     cuts = df.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 1000)).first()[0] if buckets > 1 else None

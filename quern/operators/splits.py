@@ -25,11 +25,30 @@ def resolve(df: DataFrame, strategy: str = "auto", target: str | None = None, gr
     return "random"
 
 
-def _rank_cut(df: DataFrame, within: list[str], order: list, share: float) -> DataFrame:
-    """Rows whose rank within their class is at most round(class size * share) are test rows."""
-    w = Window.partitionBy(*within)
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.withColumn("is_test", F.col("_k") <= F.round(F.col("_n") * share)).drop("_k", "_n")
+#: Rows that one task numbers, about.
+SLICE_ROWS = 1_000_000
+
+
+def _numbered(df: DataFrame, within: str, key: list[str], seed: int, rows: int) -> DataFrame:
+    """``df`` with ``_k``, a row's number from 1 within its class by hash and key, and ``_n``, the class's size.
+
+    Hashes are cut into even slices, so that a large class is numbered by many tasks; a slice starts where those before it end.
+    """
+    slices = max(1, -(-rows // SLICE_ROWS))
+    keys = [F.col(c) for c in key]
+    cut = df.withColumn("_h", hash_bucket(*keys, seed=seed)).withColumn("_slice", F.floor(F.col("_h") * F.lit(slices / (1 << 32))))
+    of_class = Window.partitionBy("_class")
+    starts = cut.groupBy(F.col(within).alias("_class"), F.col("_slice").alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
+    starts = starts.withColumn("_start", F.sum("_c").over(of_class.orderBy("_part")) - F.col("_c")).withColumn("_n", F.sum("_c").over(of_class)).drop("_c")
+    met = cut.join(starts, F.col(within).eqNullSafe(F.col("_class")) & (F.col("_slice") == F.col("_part")))
+    number = F.row_number().over(Window.partitionBy("_class", "_part").orderBy("_h", *keys))
+    return met.withColumn("_k", F.col("_start") + number).drop("_h", "_slice", "_class", "_part", "_start")
+
+
+def _classes(df: DataFrame, target: str) -> tuple[int, int]:
+    """Rows of the rarest class, and of all."""
+    found = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.sum("n")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def split(
@@ -50,10 +69,11 @@ def split(
     if how == "stratified":
         if not target:
             raise ValueError("a stratified split needs a target")
-        rarest = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
-        if rarest is not None and rarest < 2:
+        rarest, rows = _classes(df, target)
+        if rarest == 1:
             raise ValueError(f"the rarest class of {target} has one row; it can't be on both sides")
-        return _rank_cut(df, [target], [hash_bucket(*keys, seed=seed), *keys], test_size)
+        numbered = _numbered(df, target, key, seed, rows)
+        return numbered.withColumn("is_test", F.col("_k") <= F.round(F.col("_n") * test_size)).drop("_k", "_n")
     if how == "group":
         if not group:
             raise ValueError("a group split needs a group")
@@ -89,9 +109,8 @@ def overlap(df: DataFrame, group: str) -> bool:
 
 
 def stratified_folds(df: DataFrame, key: list[str], target: str, folds: int = 5, seed: int = 0) -> DataFrame:
-    keys = [F.col(c) for c in key]
-    w = Window.partitionBy(target).orderBy(hash_bucket(*keys, seed=seed), *keys)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)).cast("int"))
+    numbered = _numbered(df, target, key, seed, _classes(df, target)[1])
+    return numbered.withColumn("fold", F.pmod(F.col("_k") - 1, F.lit(folds)).cast("int")).drop("_k", "_n")
 
 
 def random_folds(df: DataFrame, key: list[str], folds: int = 5, seed: int = 0) -> DataFrame:
@@ -109,6 +128,5 @@ def make_folds(df: DataFrame, key: list[str], target: str | None, group: str | N
         have = df.agg(F.count_distinct(group)).first()[0]
         return group_folds(df, group, max(2, min(folds, have)), seed)
     if target:
-        rarest = df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
-        return stratified_folds(df, key, target, max(2, min(folds, rarest)), seed)
+        return stratified_folds(df, key, target, max(2, min(folds, _classes(df, target)[0])), seed)
     return random_folds(df, key, folds, seed)

@@ -12,7 +12,10 @@ def run(df, *steps):
 
 @pytest.fixture(scope="module")
 def series(spark):
-    rows = [(f"2024-01-0{i + 1}", "aabbab"[i], ["good day", "x", "a b c", "", None, "z"][i], float([10, 20, 30, 100, 200, 300][i])) for i in range(6)]
+    rows = [
+        ("2021-11-27", "north", "red old", 7.5), ("2021-11-28", "south", "kite", 1.25), ("2021-11-29", "south", "a long rope", 40.0),
+        ("2021-12-02", "north", "", 3.0), ("2021-12-03", "south", None, 18.5), ("2022-01-15", "north", "lamp", 0.5),
+    ]
     return spark.createDataFrame(rows, "when string, store string, note string, sales double")
 
 
@@ -132,3 +135,26 @@ def test_target_encode_of_too_many_classes_raises(spark):
     with pytest.raises(ValueError, match="more than 1000 classes"):
         recipe_ops.target_encode_oof(df, {"target": "y", "columns": ["g"], "key": ["id"]})
     assert len(recipe_ops.fit_target_encode(df.where("id < 1000"), {"target": "y", "columns": ["g"]})["codes"]) == 1000
+
+
+def test_large_classes_are_numbered_in_slices(spark, monkeypatch):
+    df = spark.range(500).select("id", F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.lit("x")).alias("y"))
+    key = lambda d, c: [r[c] for r in d.orderBy("id").collect()]
+    whole = key(splits.split(df, ["id"], "stratified", target="y"), "is_test"), key(splits.stratified_folds(df, ["id"], "y"), "fold")
+    monkeypatch.setattr(splits, "SLICE_ROWS", 40)
+    assert (key(splits.split(df, ["id"], "stratified", target="y"), "is_test"), key(splits.stratified_folds(df, ["id"], "y"), "fold")) == whole
+    assert sum(whole[0]) == round(72 * 0.2) + round(428 * 0.2)
+
+
+def test_dedupe_keeps_the_first_row_by_key(spark):
+    df = spark.createDataFrame([(2, "a", {"k": 1}), (1, "a", None), (5, None, None), (4, None, {"k": 2}), (3, "b", None)], "i long, `g.x` string, m map<string,int>")
+    got = run(df, ("dedupe", {"subset": ["g.x"], "key": ["i"]}))
+    assert got.columns == df.columns and sorted((r["i"], r["g.x"], r["m"]) for r in got.collect()) == [(1, "a", None), (3, "b", None), (4, None, {"k": 2})]
+
+
+def test_times_in_text_are_dealt_to_many_buckets(spark):
+    from quern.operators import recipe_ops
+
+    df = spark.range(400).select(F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 9000), "yyyy-MM-dd HH:mm:ss").alias("t"), F.col("id").cast("double").alias("v"))
+    window = recipe_ops.over_all_rows(df, [F.col("t")], 2, lambda w: F.sum("v").over(w.rowsBetween(-2, 0)), "s").orderBy("t").toPandas()
+    pd.testing.assert_series_equal(window["s"], window["v"].rolling(3, min_periods=1).sum(), check_names=False)
