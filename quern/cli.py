@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import platform
 import sys
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.operators import artifacts, drift, findings, metrics, modelling, profile, recipe, runs, splits
+import quern
+from quern.operators import artifacts, authoring, charts, defaults, drift, findings, metrics, modelling, plugins, profile, recipe, runs, splits
 from quern.operators.explain import EXPLANATIONS
 from quern.sources import io
 
@@ -56,7 +58,7 @@ def inspect(spark, a) -> int:
             f.write(done.to_json())
     if a.html:
         with open(a.html, "w") as f:
-            f.write(runs.render(found, ["severity", "kind", "columns", "summary"], "html"))
+            f.write(charts.profile_page(done))
     if not a.quiet:
         show(kinds)
         show(found)
@@ -91,17 +93,25 @@ def _recipe(path: str) -> recipe.Recipe:
 
 
 def clean(spark, a) -> int:
-    """Write a recipe from ``--step op:{json}`` options, in the order of the operations' use."""
+    """Write a recipe from flags, from answers to the questions that findings raise, and from ``--step op:{json}``."""
     df = load(spark, a)
-    steps = []
+    flags = {op: getattr(a, op.replace("-", "_")) for op in (*authoring.TOGETHER, *authoring.FORMS)}
+    steps = authoring.steps_from_flags(flags, a.dedupe, a.target, a.order_by)
     for text in a.step:
         op, _, params = text.partition(":")
         steps.append(recipe.Step(op, json.loads(params or "{}")))
-    order = list(recipe.OPERATIONS)
-    steps.sort(key=lambda s: order.index(s.op))
+    if a.ask or a.answer:
+        seen = artifacts.profile_table(df, a.target)
+        if a.ask:
+            show([{"question": q.kind, "columns": ", ".join(q.columns), "choices": ", ".join(q.choices)} for q in authoring.questions(seen)])
+            show([{"operation": o.op, "columns": ", ".join(o.columns), "why": o.summary} for o in authoring.opportunities(seen)])
+            return 0
+        steps += authoring.recipe_from_answers(seen, dict(x.partition("=")[::2] for x in a.answer), a.target).steps
     kinds = {r["column"]: r["kind"] for r in profile.column_kinds(df).collect()}
+    made = recipe.Recipe(authoring.ordered(steps), kinds, a.target)
     with open(a.out, "w") as f:
-        f.write(recipe.Recipe(tuple(steps), kinds, a.target).to_yaml())
+        f.write(made.to_yaml())
+    print(authoring.command(made, a.data))
     return 0
 
 
@@ -182,7 +192,8 @@ FACTS = "task string, target string, labels array<string>, prepared boolean"
 def _prepared(spark, a) -> DataFrame:
     """The rows as the model's recipe prepares them, by what it learned from the training rows."""
     df = load(spark, a)
-    if spark.read.schema(FACTS).json(f"{a.model}/quern").first()["prepared"]:
+    own = plugins.read_model(spark, a.model) is None
+    if own and spark.read.schema(FACTS).json(f"{a.model}/quern").first()["prepared"]:
         return recipe.FittedRecipe.load(spark, f"{a.model}/quern-recipe").transform(df, keep_rows=True)
     given = getattr(a, "recipe", None)
     if not given:
@@ -194,6 +205,8 @@ def _prepared(spark, a) -> DataFrame:
 
 
 def _model(spark, path: str) -> modelling.Fitted:
+    if (foreign := plugins.read_model(spark, path)) is not None:
+        return foreign
     facts = spark.read.schema(FACTS).json(f"{path}/quern").first()
     return modelling.Fitted(facts["task"], facts["target"], modelling.PipelineModel.load(path), list(facts["labels"] or []))
 
@@ -289,18 +302,44 @@ def report(spark, a) -> int:
     return 0
 
 
-def parser() -> argparse.ArgumentParser:
+def info(spark, a) -> int:
+    """Versions, and where each default comes from."""
+    values, at = defaults.load(), defaults.find()
+    show([{"what": "quern", "value": quern.__version__}, {"what": "Spark", "value": spark.version}, {"what": "Python", "value": platform.python_version()}])
+    show([{"default": k, "value": values.get(k), "from": str(at) if k in values else "built-in"} for k in defaults.KEYS])
+    return 0
+
+
+def list_plugins(spark, a) -> int:
+    show([asdict(p) for p in plugins.load()])
+    return 0
+
+
+def init(spark, a) -> int:
+    """Write the project's defaults file; one that is there stays."""
+    given = {k: v for k, v in (x.partition("=")[::2] for x in a.set)}
+    if unknown := sorted(set(given) - set(defaults.KEYS)):
+        raise io.InputError(f"no default {', '.join(unknown)}")
+    with open(defaults.FILE, "x") as f:
+        f.write(defaults.as_toml({k: defaults.KEYS[k](v) for k, v in given.items()}))
+    return 0
+
+
+def parser(values: dict | None = None) -> argparse.ArgumentParser:
+    """The verbs; ``values`` stand in for flags that are not given."""
+    values = values or {}
     top = argparse.ArgumentParser(prog="quern")
     verbs = top.add_subparsers(dest="verb", required=True)
 
     def verb(name, f, *positional, **options):
         p = verbs.add_parser(name)
         for x in positional:
-            p.add_argument(x)
+            p.add_argument(x, **({"nargs": "?", "default": values[x]} if x == "data" and x in values else {}))
         p.add_argument("--sample", type=int, default=None)
         p.add_argument("--full", action="store_true")
-        p.add_argument("--seed", type=int, default=0)
+        p.add_argument("--seed", type=int, default=values.get("seed", 0))
         for k, v in options.items():
+            v = values.get(k, v)
             flag = "--" + k.replace("_", "-")
             if isinstance(v, bool):
                 p.add_argument(flag, action="store_true")
@@ -312,7 +351,8 @@ def parser() -> argparse.ArgumentParser:
 
     verb("inspect", inspect, "data", target=None, html=None, json=None, explain=False, quiet=False, fail_on=None)
     verb("diff", diff, "baseline", "current", json=None, fail_on=None)
-    verb("clean", clean, "data", out="recipe.yaml", target=None, step=[])
+    flags = {op.replace("-", "_"): [] for op in (*authoring.TOGETHER, *authoring.FORMS)}
+    verb("clean", clean, "data", out="recipe.yaml", target=None, step=[], dedupe=False, order_by=None, ask=False, answer=[], **flags)
     verb("apply", apply, "recipe", "data", out="out.parquet", strict=False)
     verb("export", export, "recipe", out="prepare.py")
     verb("split", split, "data", target=None, test_size=0.2, strategy="auto", group=None, time=None, train="train.parquet", test="test.parquet")
@@ -326,12 +366,16 @@ def parser() -> argparse.ArgumentParser:
     verb("predict", predict, "model", "data", out="predictions.parquet", recipe=None, id=None, label="prediction")
     verb("sweep", sweep, "plan", out="sweep", force=False, dry_run=False)
     verb("report", report, "source", out="report.md", format="markdown")
+    verb("info", info)
+    verb("plugins", list_plugins)
+    verb("init", init, set=[])
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
     try:
+        plugins.load()
+        args = parser(defaults.load()).parse_args(argv)
         return args.run(spark_session(), args)
     except (io.InputError, recipe.RecipeError, ValueError, ImportError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)

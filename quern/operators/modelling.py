@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import metrics, profile, recipe, significance, splits
+from quern.operators import metrics, plugins, profile, recipe, significance, splits
 from quern.operators.neighbours import NearestNeighbours
 
 LEAST_ROWS_PER_FOLD = 5
@@ -203,9 +203,9 @@ def fit_model(df: DataFrame, target: str, name: str, task: str | None = None, pa
 
 def score(predicted: DataFrame, target: str, task: str) -> dict[str, float]:
     if task == "regression":
-        return {k: v for k, v in metrics.regression_metrics(predicted, target, "prediction").first().asDict().items() if v is not None}
+        return {k: v for k, v in metrics.regression_metrics(predicted, target, "prediction").first().asDict().items() if v is not None} | plugins.extra_metrics(predicted, target)
     cells = metrics.confusion(predicted.withColumn("_t", F.col(target).cast("string")), "_t", "prediction")
-    return {k: float(v) for k, v in metrics.label_metrics(cells).first().asDict().items() if v is not None}
+    return {k: float(v) for k, v in metrics.label_metrics(cells).first().asDict().items() if v is not None} | plugins.extra_metrics(predicted, target)
 
 
 HEADLINE = {"classification": ("balanced_accuracy", True), "regression": ("rmse", False)}
