@@ -317,9 +317,9 @@ def tfidf(df, p, state):
     return df.select("*", *made).drop(n, "_terms", "_raw", "_norm")
 
 
-def over_all_rows(df, order, reach, value, name, buckets=32):
-    """A window over the whole table without one task: buckets by quantiles of the first order column, each
-    with the last ``reach`` rows before it."""
+def over_all_rows(df, order, reach, value, name, buckets=32, within=()):
+    """A window over the whole table, or over large groups, without one task: buckets by quantiles of the first order
+    column, each with the last ``reach`` rows before it."""
     kind = df.select(order[0].alias("b")).dtypes[0][1]
     if kind == "string":  # six bytes as a number keep the order, from the first in which texts differ
         low, high = (x.encode() for x in df.agg(F.coalesce(F.min(order[0]), F.lit("")), F.coalesce(F.max(order[0]), F.lit(""))).first())
@@ -333,17 +333,18 @@ def over_all_rows(df, order, reach, value, name, buckets=32):
     for c in cuts:
         code = code + F.coalesce((by > F.lit(c)).cast("int"), F.lit(1))
     own = df.withColumn("_b", code).withColumn("_own", F.lit(True))
-    back = Window.partitionBy("_b").orderBy(*[o.desc_nulls_first() for o in order])
+    back = Window.partitionBy(*within, "_b").orderBy(*[o.desc_nulls_first() for o in order])
     tails = own.withColumn("_r", F.row_number().over(back)).where(F.col("_r") <= reach)
     later = tails.select("*", F.explode(F.sequence(F.col("_b") + 1, F.greatest(F.col("_b") + 1, F.lit(len(cuts))))).alias("_to")).where(F.col("_to") <= len(cuts))
-    nearest = Window.partitionBy("_to").orderBy(F.desc("_b"), F.asc("_r"))
+    nearest = Window.partitionBy(*within, "_to").orderBy(F.desc("_b"), F.asc("_r"))
     carried = later.withColumn("_k", F.row_number().over(nearest)).where(F.col("_k") <= reach)
     carried = carried.withColumn("_b", F.col("_to")).withColumn("_own", F.lit(False)).drop("_r", "_to", "_k")
-    forward = Window.partitionBy("_b").orderBy(*[o.asc_nulls_last() for o in order])
+    forward = Window.partitionBy(*within, "_b").orderBy(*[o.asc_nulls_last() for o in order])
     return own.unionByName(carried).withColumn(name, value(forward)).where("_own").drop("_b", "_own")
 
 
-def ordered_window(df, p, reach, value, name):
+def ordered_window(df, p, reach, value, name, large=20_000_000):
+    """The window in the order of ``by``, over the table or within groups; groups of over ``large`` rows are cut into buckets."""
     by, group = F.col(rename_free(df, p["by"])), p.get("group")
     order = [by, *row_order(df, p.get("key"))]
     if not group:
@@ -352,7 +353,11 @@ def ordered_window(df, p, reach, value, name):
         raise ValueError(f"no column {group} to group by")
     g = F.col(rename_free(df, group))
     forward = Window.partitionBy(g).orderBy(*[o.asc_nulls_last() for o in order])
-    return df.withColumn(name, F.when(g.isNotNull(), value(forward)))
+    # at most one group for every ``large`` rows
+    hot = [r[0] for r in df.where(g.isNotNull()).groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).collect()]
+    is_hot = F.coalesce(g.isin(hot), F.lit(False))
+    plain = (df.where(~is_hot) if hot else df).withColumn(name, F.when(g.isNotNull(), value(forward)))
+    return plain.unionByName(over_all_rows(df.where(is_hot), order, reach, value, name, within=(g,))) if hot else plain
 
 
 def lag(df, p, state=None):

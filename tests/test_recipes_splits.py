@@ -158,3 +158,15 @@ def test_times_in_text_are_dealt_to_many_buckets(spark):
     df = spark.range(400).select(F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 9000), "yyyy-MM-dd HH:mm:ss").alias("t"), F.col("id").cast("double").alias("v"))
     window = recipe_ops.over_all_rows(df, [F.col("t")], 2, lambda w: F.sum("v").over(w.rowsBetween(-2, 0)), "s").orderBy("t").toPandas()
     pd.testing.assert_series_equal(window["s"], window["v"].rolling(3, min_periods=1).sum(), check_names=False)
+
+
+def test_windows_of_large_groups_cross_buckets(spark):
+    from quern.operators import recipe_ops
+
+    df = spark.range(300).select(F.when(F.col("id") % 50 != 7, F.col("id") % 9 % 3).alias("g"), ((F.col("id") * 7919) % 300).alias("t"), F.rand(4).alias("v"))
+    value = lambda w: F.sum("v").over(w.rowsBetween(-19, 0))
+    p = {"by": "t", "group": "g", "key": ["t"]}
+    plain, cut, some = (recipe_ops.ordered_window(df, p, 19, value, "s", n).orderBy("t").toPandas() for n in (1000, 10, 98))
+    pd.testing.assert_frame_equal(cut, plain)
+    pd.testing.assert_frame_equal(some, plain)
+    assert cut["s"].isna().sum() == 6
